@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Publication number that stands for a lost number; its rows share nothing else.
@@ -36,13 +36,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 42) -> DataFrame:
-    """At most ``bound`` rows, the same for any partitioning: the smallest seeded hashes of ``key``.
+def bounded_sample(df: DataFrame, key: str, bound: int, strata: str | None = None, seed: int = 42) -> list[Row]:
+    """At most ``bound`` rows (of each value of ``strata``), the same for any partitioning.
 
-    Spark plans this as TakeOrderedAndProject: every task keeps ``bound`` rows, nothing is
-    shuffled in full. Only models are fitted on it, never counts of the corpus.
+    The rows with the smallest seeded hashes of ``key``: a count gives the hash below which hardly
+    more than ``bound`` rows lie, so only about so many leave their tasks, however many tasks there
+    are. Rows with a null key or stratum are left out. Only models are fitted on it, never counts
+    of the corpus.
     """
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(bound)
+    df = df.where(F.col(key).isNotNull())
+    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
+    wanted = bound + 4 * bound**0.5 + 8
+    if strata is None:
+        n = df.count()
+        rows = df.where(share < wanted / n if n > wanted else F.lit(True))
+    else:
+        counts = {r[0]: r[1] for r in df.where(F.col(strata).isNotNull()).groupBy(strata).count().collect()}
+        if not counts:
+            return []
+        limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, wanted / n)])
+        rows = df.where(share < F.try_element_at(limit, F.col(strata)))
+    got = sorted(rows.withColumn("_share", share).collect(), key=lambda r: (r["_share"], str(r[key]), str(r)))
+    taken: dict = {}
+    out = []
+    for r in got:
+        group = r[strata] if strata else None
+        if taken.setdefault(group, 0) < bound:
+            taken[group] += 1
+            out.append(r)
+    return out
 
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:

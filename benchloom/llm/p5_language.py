@@ -30,11 +30,9 @@ SHORT_LETTERS = 40
 
 def fit_languages(corpus: DataFrame, fields: tuple[str, ...] = FIELDS, bound: int = TRAINING_ROWS) -> LanguageModel:
     """Model from at most ``bound`` labelled rows per language; wrong labels are outvoted in the fit."""
-    rows = corpus.withColumn("code", canonical_label(F.col("language"))).where(F.col("id").isNotNull())
-    samples = []
-    for code in LANGUAGES:
-        got = bounded_sample(rows.where(F.col("code") == code).select("id", *fields), "id", bound).collect()
-        samples += [(r[f], code) for r in got for f in fields]
+    code = canonical_label(F.col("language"))
+    rows = corpus.select("id", *fields, F.when(code.isin(*LANGUAGES), code).alias("code"))
+    samples = [(r[f], r["code"]) for r in bounded_sample(rows, "id", bound, "code") for f in fields]
     return LanguageModel(samples)
 
 

@@ -24,7 +24,7 @@ def publish_lexicon(docs: DataFrame, key: str, text: str, tokenizer: str, folder
     """Lexicon of the frequent words of a bounded sample, in the shared folder if there is one."""
     spark = docs.sparkSession
     sample = bounded_sample(docs.select(key, text), key, bound)
-    blob = build_lexicon((r[1] for r in sample.collect()), tokenizer, folder)
+    blob = build_lexicon((r[1] for r in sample), tokenizer, folder)
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     shared = at.removeprefix("file:").replace("///", "/") if at.startswith(("file:", "/")) else None
     return Published(blob, shared and f"{shared.rstrip('/')}/lexicons", tokenizer, folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p3_forms, p5_language, p6_budget, p7_encode, p8_pack, p9_repetition
+from . import p1_alignment, p2_truncation, p3_forms, p4_pairs, p5_language, p6_budget, p7_encode, p8_pack, p9_repetition
 from .common import table
 
 P1_COLUMNS = ("id", "language", "abstract", "publication_number")
@@ -17,6 +17,27 @@ P5_COLUMNS = ("id", "language", "abstract", "description")
 P6_COLUMNS = ("id", "language", "source", "context", "ipc_codes")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p1_alignment.align(table(spark, sf_dir, "corpus", *P1_COLUMNS))
+    return pairs.select("id_1", "sent_1", "id_2", "sent_2").distinct()
+
+
+def p1_alignment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_alignment.align(table(spark, sf_dir, "corpus", *P1_COLUMNS))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_truncation.truncated(table(spark, sf_dir, "corpus", *P2_COLUMNS))
+
+
+def p2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_truncation.limits(table(spark, sf_dir, "corpus", *P2_COLUMNS))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_truncation.rates(table(spark, sf_dir, "corpus", *P2_COLUMNS))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_forms.same_look(table(spark, sf_dir, "corpus", "id", "title", "abstract"))
 
@@ -25,6 +46,10 @@ def p3_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_forms.consistent(table(spark, sf_dir, "corpus", "id", "title", "abstract"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs.defects(table(spark, sf_dir, "qac", *P4_COLUMNS))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_language.unnamed_languages(table(spark, sf_dir, "corpus", *P5_COLUMNS))
 
@@ -66,8 +91,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        p1_found,
+        p1_alignment_scores,
+        p2_found,
+        p2_limits,
+        p2_rates,
         p3_found,
         p3_consistent_text,
+        p4_found,
         p5_found,
         p5_segments,
         p5_documents,
