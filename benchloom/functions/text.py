@@ -138,7 +138,7 @@ def code_prefix(c: Column) -> Column:
 
 def code_list(ipc_codes: Column) -> Column:
     """The bar-separated codes as an array of distinct non-empty codes in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(ipc_codes, F.lit("")), r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(ipc_codes, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def chemistry_codes(codes: Column, prefixes: tuple[str, ...] = CHEMISTRY_PREFIXES) -> Column:

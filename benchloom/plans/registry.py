@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
-from . import corpus, scalar  # noqa: E402, F401
+from . import concepts, corpus, scalar  # noqa: E402, F401
