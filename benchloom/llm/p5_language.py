@@ -48,7 +48,7 @@ def judge(model: LanguageModel, texts: list[str], labels: list[str | None]) -> t
     best = score.argmax(1)
     sure = (chinese | (pieces.n_letters >= OWN_LETTERS)) & (confidence >= OWN_CONFIDENCE)
     number = {c: i for i, c in enumerate(model.languages)}
-    named = np.array([number.get(c, -1) for c in labels])
+    named = np.array([number.get(c, -1) for c in labels], int)
     # a short piece (often one cut off) that contradicts the label needs a second opinion
     short = (pieces.n_letters < SHORT_LETTERS) & (pieces.n > 0) & ~chinese & (best != named[pieces.text])
     if short.any():
@@ -146,7 +146,7 @@ def unnamed_languages(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> Da
         number = {c: i for i, c in enumerate(model.languages)}
         for field, ids, labels, texts in _texts(batches):
             pieces, language, _, _, _ = judge(model, texts, labels)
-            named = np.array([number.get(c, -1) for c in labels])
+            named = np.array([number.get(c, -1) for c in labels], int)
             ok = (language >= 0) & (language != named[pieces.text])
             cells = np.unique(pieces.text[ok] * n_lang + language[ok])
             yield pa.RecordBatch.from_arrays(
