@@ -24,7 +24,8 @@ def document_text(row_fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
 
 def holds(text: Column, term: Column) -> Column:
     """Whether a text holds a term at word borders; Chinese terms match anywhere."""
-    quoted = F.when(T.has_cjk(term), F.contains(text, term)).otherwise(F.regexp_like(text, T.term_pattern(term)))
+    # the plain test comes first: patterns differ by row and are costly to compile
+    quoted = F.when(T.has_cjk(term), F.contains(text, term)).otherwise(F.contains(F.lower(text), F.lower(term)) & F.regexp_like(text, T.term_pattern(term)))
     return F.coalesce(quoted & (F.trim(term) != ""), F.lit(False))
 
 
