@@ -34,7 +34,7 @@ def hard_negatives(pubs: DataFrame, concepts: DataFrame, edges: DataFrame) -> Da
     return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("concept", "pub", "neighbor", "relation")
 
 
-def alias_graph(pubs: DataFrame, edges: DataFrame, min_gold: int, min_neg: int, most: int | None = None, root: str | None = None) -> DataFrame:
+def kept_concepts(pubs: DataFrame, edges: DataFrame, min_gold: int, min_neg: int, most: int | None = None, root: str | None = None) -> DataFrame:
     """(concept, n_gold, n_hard_neg): kept concepts, the most frequent first, at most ``most`` of them (a top-n report)."""
     cand = candidates(pubs, edges, min_gold, root)
     neg = hard_negatives(pubs, cand, edges).groupBy("concept").agg(F.count("*").alias("n_hard_neg")).where(F.col("n_hard_neg") >= min_neg)

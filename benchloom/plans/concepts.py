@@ -192,9 +192,9 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, {RELATIONS}, {NEG} SELECT concept, n_gold, n AS n_hard_neg FROM cand JOIN (SELECT concept, count(*) AS n FROM neg GROUP BY 1 HAVING count(*) >= 3) USING (concept) ORDER BY n_gold DESC, concept LIMIT 25"
 )
-def alias_graph(spark: SparkSession, d: str) -> DataFrame:
+def kept_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The 25 most frequent concepts with enough gold publications and hard negatives."""
-    return K.alias_graph(G.cut_lineage(pubs(spark, d)), concept_edges(spark, d), 2, 3, 25)
+    return K.kept_concepts(G.cut_lineage(pubs(spark, d)), concept_edges(spark, d), 2, 3, 25)
 
 
 @query(

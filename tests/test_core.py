@@ -139,7 +139,7 @@ def test_hard_negatives_prefer_siblings(spark):
     assert {r.concept for r in cand.collect()} == {"a", "s"}
     got = {(r.concept, r.pub, r.neighbor, r.relation) for r in concepts.hard_negatives(pubs, cand.where("concept = 'a'"), e).collect()}
     assert got == {("a", "n1", "s", "sibling"), ("a", "n2", "p", "parent")}
-    assert [r.concept for r in concepts.alias_graph(pubs, e, 2, 2, 1).collect()] == ["a"]
+    assert [r.concept for r in concepts.kept_concepts(pubs, e, 2, 2, 1).collect()] == ["a"]
 
 
 # ---------------------------------------------------------------- metrics
