@@ -106,7 +106,8 @@ ix AS (SELECT * FROM ix1 WHERE norm IN (SELECT norm FROM ix1 GROUP BY 1 HAVING c
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    return M.name_index(concept_names(spark, d), G.closure(concept_edges(spark, d)))
+    """The index, written once: a scan uses it for both kinds of names."""
+    return G.cut_lineage(M.name_index(concept_names(spark, d), G.closure(concept_edges(spark, d))))
 
 
 @query(f"WITH {INDEX} SELECT norm, cjk, CAST(n_tokens AS INT) AS n_tokens, concept, array_to_string(langs, ',') AS langs FROM ix")
@@ -116,7 +117,8 @@ def name_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "corpus", "id", "abstract", "publication_number", "language").where("id is not null").withColumnRenamed("abstract", "text").dropDuplicates(["id"])
+    """Abstracts; an id that was delivered twice stays twice, as its texts are equal and hits are distinct."""
+    return table(spark, d, "corpus", "id", "abstract", "publication_number", "language").where("id is not null").withColumnRenamed("abstract", "text")
 
 
 DOCS = rf"docs AS (SELECT id, any_value(trim(publication_number)) AS pub, any_value(language) AS language, any_value(abstract) AS text FROM corpus GROUP BY 1), dt AS (SELECT id, pub, language, ' ' || array_to_string({tokens_sql('text')}, ' ') || ' ' AS spaced, array_to_string({tokens_sql('text')}, '') AS dense FROM docs WHERE text IS NOT NULL)"
@@ -144,8 +146,8 @@ def name_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {INDEX}, {DOCS}, {HITS}, stop AS (SELECT norm FROM hit GROUP BY 1 HAVING count(DISTINCT doc) > 0.02 * (SELECT count(*) FROM docs)) SELECT norm, concept FROM ix WHERE norm NOT IN (SELECT norm FROM stop)")
 def pruned_index(spark: SparkSession, d: str) -> DataFrame:
     """Index without names in more than a fiftieth of the documents."""
-    docs, ix = corpus_docs(spark, d), G.cut_lineage(index(spark, d))
-    stop = M.stop_names(M.name_document_frequency(M.scan(docs, ix)), docs.count(), 0.02)
+    docs, ix = corpus_docs(spark, d), index(spark, d)
+    stop = M.stop_names(M.name_document_frequency(M.scan(docs, ix)), docs.select("id").distinct().count(), 0.02)
     return M.prune(ix, stop).select("norm", "concept")
 
 
@@ -154,12 +156,12 @@ def pruned_index(spark: SparkSession, d: str) -> DataFrame:
 )
 def contains_name(spark: SparkSession, d: str) -> DataFrame:
     """Containment test of tokens on the pairs that the scan finds."""
-    ix = G.cut_lineage(index(spark, d)).where("not cjk and array_contains(langs, 'en')")
+    ix = index(spark, d).where("not cjk and array_contains(langs, 'en')")
     docs = corpus_docs(spark, d)
     hits = M.scan(docs, ix)
     toks = docs.select(F.col("id").alias("doc"), M.normalized(F.col("text")).alias("t"))
     named = T.contains_name(F.col("t"), F.split("norm", " "), F.col("cjk"))
-    return hits.join(toks, "doc").select(F.col("doc").alias("id"), "concept", named.alias("named"))
+    return hits.join(toks, "doc").select(F.col("doc").alias("id"), "concept", named.alias("named")).distinct()
 
 
 PUBS = "pubs AS (SELECT DISTINCT concept, pub FROM hit WHERE pub != '')"
@@ -210,7 +212,7 @@ def name_sets(spark: SparkSession, d: str) -> DataFrame:
 def title_checks(spark: SparkSession, d: str) -> DataFrame:
     """Title checks of concepts named in English abstracts against the parallel texts."""
     docs = table(spark, d, "corpus", "id", "abstract", "publication_number", "language").where("id is not null and publication_number != 'EP-0000000-A0' and trim(publication_number) != ''")
-    docs = docs.withColumnRenamed("abstract", "text").dropDuplicates(["id"])
+    docs = docs.withColumnRenamed("abstract", "text")
     en = docs.where("language = 'en'")
     found = M.scan(en, index(spark, d)).join(en.select(F.col("id").alias("doc"), F.col("publication_number").alias("pub")), "doc").select("concept", "pub").distinct()
     rows = docs.where("language in ('de', 'fr', 'es', 'zh') and trim(text) != ''").select(F.col("publication_number").alias("pub"), F.col("language").alias("lang"), "text", "id")
