@@ -115,8 +115,8 @@ class EndingModel:
 
 
 def _open_bracket(text: str) -> bool:
-    """Whether a bracket or quotation mark near the end was opened and not closed."""
-    tail, stack = text[-400:], []
+    """Whether a bracket or quotation mark in the last 400 characters was opened and not closed."""
+    tail, stack = text[-5000:], []  # from further back, so that a closing mark isn't taken for an opening one
     for at, ch in enumerate(tail):
         if ch in "(（[„«" or (ch == "“" and not any(c == "„" for c, _ in stack)):
             stack.append((ch, at))
@@ -126,7 +126,7 @@ def _open_bracket(text: str) -> bool:
                 if stack[k][0] in opens:
                     del stack[k:]
                     break
-    return bool(stack)
+    return any(at >= len(tail) - 400 for _, at in stack)
 
 
 def abbreviated(text: str) -> bool:
