@@ -27,10 +27,14 @@ TO_CODE = {name: code for code, names in LABELS.items() for name in names.split(
 
 
 def canonical_label(label: Column) -> Column:
-    """Two-letter code that a label names, null where it names no language (or several).
+    """Two-letter code that a label names, null where it names no language or several.
 
-    Region, script and further subtags after ``-``, ``_`` or a blank in brackets are ignored,
-    as are letter case and white space.
+    Region, script and further subtags after ``-``, ``_`` or a blank are ignored, as are letter case and
+    white space; otherwise a language's name may stand anywhere in the label.
     """
-    base = F.split(F.lower(F.trim(label)), r"[-_ (]").getItem(0)
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TO_CODE.items() for x in kv]), base)
+    low = F.lower(F.trim(label))
+    codes = F.create_map(*[F.lit(x) for kv in TO_CODE.items() for x in kv])
+    first = F.try_element_at(codes, F.split(low, r"[-_ (]").getItem(0))
+    words = F.filter(F.split(low, r"[^\p{L}]+"), lambda w: F.length(w) > 3)
+    named = F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(codes, w)), lambda c: c.isNotNull()))
+    return F.when(F.size(named) < 2, F.coalesce(first, F.try_element_at(named, F.lit(1))))

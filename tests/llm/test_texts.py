@@ -120,12 +120,12 @@ def corpus(spark, rows):
 
 
 def test_labels(spark):
-    labels = ["EN", " en-GB", "eng", "zh_Hans", "Deutsch", "français", "por", "und", "", None, "mul", "?", "nl"]
+    labels = ["EN", " en-GB", "eng", "zh_Hans", "Deutsch", "français", "por", "und", "", None, "mul", "?", "nl", "Simplified Chinese", "English, German", "en/de", "pt-BR"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string")
     from pyspark.sql import functions as F
 
     got = [r.c for r in df.select("i", canonical_label(F.col("l")).alias("c")).orderBy("i").collect()]
-    assert got == ["en", "en", "en", "zh", "de", "fr", "pt", None, None, None, None, None, "nl"]
+    assert got == ["en", "en", "en", "zh", "de", "fr", "pt", None, None, None, None, None, "nl", "zh", None, None, "pt"]
 
 
 def test_unnamed_languages(spark):
