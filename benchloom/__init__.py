@@ -1,0 +1,29 @@
+"""PySpark-native engine for multilingual retrieval benchmarks."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the session's Python workers, once per application.
+
+    Spark's own file server takes it to every executor, also to ones that join later.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="benchloom-"), "benchloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("benchloom", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
