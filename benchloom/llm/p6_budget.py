@@ -47,8 +47,8 @@ def document_tokens(docs: DataFrame, key: str, text: str, keep: list[str], token
     return once.groupBy(*cols).agg(F.sum("n_tokens").alias("n_tokens"))
 
 
-def token_budget(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(language, source, domain, n_documents, n_tokens) of the contexts, each id once.
+def context_tokens(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(id, language, source, domain, n_tokens) of the contexts, each id once.
 
     Language is the canonical code of the label, ``und`` where it names none; source is trimmed
     and lower-cased; domain is the upper-cased subclass of the first code, null without codes.
@@ -64,4 +64,10 @@ def token_budget(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str
     ).where(F.col("id").isNotNull())
     each = document_tokens(rows, "id", "context", ["language", "source", "domain"], tokenizer, folder)
     one = each.groupBy("id").agg(F.min(F.struct("language", "source", "domain", "n_tokens")).alias("s"))
-    return one.groupBy("s.language", "s.source", "s.domain").agg(F.count("*").alias("n_documents"), F.sum("s.n_tokens").alias("n_tokens"))
+    return one.select("id", "s.language", "s.source", "s.domain", "s.n_tokens")
+
+
+def token_budget(corpus: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """(language, source, domain, n_documents, n_tokens): the roll-up of ``context_tokens`` to slices."""
+    one = context_tokens(corpus, tokenizer, folder)
+    return one.groupBy("language", "source", "domain").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))

@@ -66,6 +66,10 @@ def p6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_budget.token_budget(table(spark, sf_dir, "corpus", *P6_COLUMNS))
 
 
+def p6_context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_budget.context_tokens(table(spark, sf_dir, "corpus", *P6_COLUMNS))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_encode.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_segments,
         p5_documents,
         p6_token_budget,
+        p6_context_tokens,
         p7_ids,
         p8_containers,
         p8_summary,
