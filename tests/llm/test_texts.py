@@ -100,6 +100,14 @@ def test_repetition_equals_brute_force_on_documents(spark, sf):
         assert (r.share is None and want < 0.25) or r.share == pytest.approx(want)
 
 
+def test_repetition_is_counted_whatever_the_distance(spark):
+    once = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(350))
+    df = spark.createDataFrame([(1, f"{once} {once}", "en")], "doc_id bigint, text string, lang string")
+    got = p9_repetition.measure(df).first()  # the only reference is the text itself
+    assert got.n_words == 700 and got.js_words < 0.08
+    assert got.share == pytest.approx(0.5)
+
+
 # ---------------------------------------------------------------- 5 and 4
 
 
