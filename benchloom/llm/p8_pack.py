@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,55 +29,27 @@ WEIGHTS = (1.0, 0.01, 0.01)
 def best_fit(sizes: list[int], capacity: int, max_items: int | None = None, max_cost: int | None = None, weights: tuple = WEIGHTS) -> list[int]:
     """Container number of each size (all at most ``capacity``, in decreasing order for the best result).
 
-    Open containers are kept by residual tokens, with a bit set of the residuals in use: the
-    smallest residual that holds the item is found by one shift. The token weight dominates, so
-    the norm decides among the containers of that residual; where none of them meets the other
-    constraints the next larger residual is tried, so no feasible container is passed over.
-    Without limits for items and cost these are the ones that tokens imply, which never bind.
+    Every container that holds the item under all three capacities is weighed, and the one with the
+    smallest norm of what would remain is taken, the first of equals. Without other limits a container
+    takes as many documents as tokens and the attention cost of one full piece: a lower cost would
+    divide texts that fit.
     """
     items = capacity if max_items is None else max_items
     cost = capacity * capacity if max_cost is None else max_cost
-    _, wd, wa = weights
-    bound = items < capacity or cost < capacity * capacity
-    by_residual: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    wt, wd, wa = weights
+    tokens, docs, spent = (np.zeros(len(sizes), np.int64) for _ in range(3))
     used = 0
-    docs: list[int] = []
-    spent: list[int] = []
     out = []
     for size in sizes:
-        chosen = -1
-        rest = used >> size if size <= capacity else 0
-        base = size
-        while rest:
-            step = (rest & -rest).bit_length() - 1
-            at = base + step
-            bins = by_residual[at]
-            if not bound:
-                chosen = bins.pop()
-            else:
-                fit = [
-                    (wd * (1 - (docs[b] + 1) / items) ** 2 + wa * (1 - (spent[b] + size * size) / cost) ** 2, b)
-                    for b in bins
-                    if docs[b] < items and spent[b] + size * size <= cost
-                ]
-                if fit:
-                    chosen = min(fit)[1]
-                    bins.remove(chosen)
-            if chosen >= 0:
-                if not bins:
-                    used &= ~(1 << at)
-                break
-            rest >>= step + 1
-            base = at + 1
-        if chosen < 0:
-            chosen, at = len(docs), capacity
-            docs.append(0)
-            spent.append(0)
+        fit = np.flatnonzero((tokens[:used] + size <= capacity) & (docs[:used] < items) & (spent[:used] + size * size <= cost))
+        if len(fit):
+            norm = wt * (1 - (tokens[fit] + size) / capacity) ** 2 + wd * (1 - (docs[fit] + 1) / items) ** 2 + wa * (1 - (spent[fit] + size * size) / cost) ** 2
+            chosen = int(fit[np.argmin(norm)])
+        else:
+            chosen, used = used, used + 1
+        tokens[chosen] += size
         docs[chosen] += 1
         spent[chosen] += size * size
-        left = at - size
-        by_residual[left].append(chosen)
-        used |= 1 << left
         out.append(chosen)
     return out
 

@@ -94,6 +94,27 @@ def test_best_fit_respects_every_capacity(sizes, most, cost):
         assert len(set(plain)) <= 11 / 9 * max(1, -(-sum(sizes) // 20)) * 1.5 + 1
 
 
+def test_best_fit_takes_the_smallest_norm_under_the_default_limits():
+    assert p8_pack.best_fit([0] * 50, 20) == [0] * 20 + [1] * 20 + [2] * 10  # no more texts than tokens
+    sizes = sorted((i * i % 41 for i in range(200)), reverse=True)
+    held, ties = [], 0
+    for size, chosen in zip(sizes, p8_pack.best_fit(sizes, 50)):
+        norms = {}
+        for b, h in enumerate(held):
+            new = [*h, size]
+            left = (1 - sum(new) / 50, 1 - len(new) / 50, 1 - sum(s * s for s in new) / 2500)
+            if min(left) >= 0:
+                norms[b] = sum(w * x * x for w, x in zip(p8_pack.WEIGHTS, left))
+        if norms:
+            ties += len(norms) > 1
+            assert norms[chosen] == pytest.approx(min(norms.values()))
+        else:
+            assert chosen == len(held)
+            held.append([])
+        held[chosen].append(size)
+    assert ties > 20
+
+
 def test_pack_rows(spark):
     sizes = spark.createDataFrame([(1, 1300), (2, 400), (3, 112), (4, 0), (5, 512), (5, 512)], "doc_id bigint, n_tokens bigint")
     containers = spark.createDataFrame([("short", 512, "x"), ("long", 2048, "x"), ("short", 512, "x")], "container_type string, capacity_tokens int, tokenizer string")
