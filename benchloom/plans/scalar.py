@@ -122,6 +122,13 @@ def description_snippets(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", T.description_snippet(F.concat(F.lit("[0001] "), "description")).alias("snippet"))
 
 
+@query()
+def description_snippets_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every description, cut at the limit; tested on a fixture."""
+    c = table(spark, d, "corpus", "id", "description")
+    return c.select("id", T.description_snippet(F.concat(F.lit("[0001] "), "description")).alias("snippet"))
+
+
 @query()
 def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
     """Texts after both cleanings (entities, compatibility forms, marks); tested on a fixture."""

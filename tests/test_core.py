@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import perturb
 from benchloom.functions import text as T
 from benchloom.operators import analysis, concepts, corpus, grading, graph, matching, metrics, packaging, variants
+from benchloom.plans import registry
 from benchloom.sources import archives, files
 from benchloom.streaming import ingest
 
@@ -255,6 +256,14 @@ def test_archives(spark, tmp_path):
     assert [n for n, _ in archives.unpack("one.tar", outer.getvalue(), most=4)] == []
 
 
+def test_snippets_of_all_descriptions(spark, tmp_path):
+    long = "[0002] " + "word " * 400
+    texts = ["short [0003] text", long, "x" * 1600, "y" * 1500, "", None]
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, description string").write.parquet(str(tmp_path / "corpus.parquet"))
+    got = {r.id: r.snippet for r in registry.QUERIES["description_snippets_all"](spark, str(tmp_path)).collect()}
+    assert got == {"0": "short text", "1": ("word " * 300)[:-1], "2": "x" * 1500, "3": "y" * 1500, "4": "", "5": None}
+
+
 def test_csv_round_trip(spark, tmp_path):
     row = ("1", "en", 'a "quoted"\nline', None, "d,e", "", "c", "P", "EP", "2020", "s", "A|B")
     df = spark.createDataFrame([row], files.CORPUS_SCHEMA)
