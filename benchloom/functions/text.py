@@ -42,6 +42,14 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def escape_markup(c: Column) -> Column:
+    """A text as it stands in mark-up and in quoted attributes; '' for null."""
+    t = F.coalesce(c, F.lit(""))
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        t = F.replace(t, F.lit(mark), F.lit(entity))
+    return t
+
+
 @F.pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     """HTML entities to characters; null stays null."""

@@ -51,6 +51,14 @@ def html_claims(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", T.first_claim_of_html(h).alias("claim"))
 
 
+@query()
+def html_claims_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every row, with the claim escaped in the mark-up; '' for null; tested on a fixture."""
+    c = table(spark, d, "corpus", "id", "first_claim")
+    h = F.concat(F.lit('<claims><claim num="1"><p>1. '), T.escape_markup(F.col("first_claim")), F.lit("</p><chemistry>C2</chemistry></claim><claim>2. more</claim></claims>"))
+    return c.select("id", T.clean_text(T.first_claim_of_html(h)).alias("claim"))
+
+
 @query(
     r"SELECT id, trim(regexp_replace(regexp_extract(upper(ipc_codes), '([A-HY]\d{2}[A-Z]?\s*\d+(?:/\d+)?)', 1), '\s+', ' ', 'g')) AS code, upper(replace(ipc_codes, ' ', '')) AS prefix_form FROM corpus"
 )

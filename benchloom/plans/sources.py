@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import files as S
 from .registry import query, table
 
@@ -27,6 +28,20 @@ def markup_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", "valid", "language", F.element_at("title_localized", 1)["text"].alias("title"), F.element_at("abstract_localized", 1)["text"].alias("abstract"))
 
 
+@query()
+def markup_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every row, escaped, whatever its label and blank fields; without a title it isn't valid."""
+    c = table(spark, d, "corpus", "id", "language", "title", "abstract", "first_claim").distinct()
+    e = {k: T.escape_markup(F.col(k)) for k in c.columns}
+    xml = F.concat(
+        F.lit('<ep-patent-document id="'), e["id"], F.lit('" doc-number="1" country="EP" kind="A1" date-publ="20200101" lang="en"><SDOBI><B500><B540><B541>'), e["language"], F.lit("</B541><B542>"), e["title"], F.lit('</B542></B540></B500></SDOBI><abstract lang="'), e["language"], F.lit('"><p>'), e["abstract"],
+        F.lit('</p></abstract><claims lang="'), e["language"], F.lit('"><claim><claim-text>1. '), e["first_claim"], F.lit("</claim-text></claim></claims></ep-patent-document>"),
+    )
+    p = S.parse_patents(c.select("id", "language", xml.alias("xml")))
+    first = lambda block: F.try_element_at(block, F.lit(1))["text"]
+    return p.select("id", "valid", "language", first(F.col("title_localized")).alias("title"), first(F.col("abstract_localized")).alias("abstract"), first(F.col("claims_localized")).alias("claim"))
+
+
 @query(
     """SELECT DISTINCT id || '_en' AS id, title, abstract FROM corpus WHERE language = 'en' AND trim(title) != '' AND trim(abstract) != '' AND trim(first_claim) != ''
     AND title = trim(title) AND abstract = trim(abstract)"""
@@ -40,6 +55,16 @@ def record_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return S.records_to_rows(r, ["en"]).select("id", "title", "abstract")
 
 
+@query()
+def record_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every row and label, in blocks named EN; rows with neither title nor abstract give none."""
+    c = table(spark, d, "corpus", "id", "title", "abstract", "first_claim").distinct()
+    block = lambda x: F.array(F.struct(F.lit("xx").alias("language"), F.lit("no").alias("text")), F.struct(F.lit("EN").alias("language"), F.col(x).alias("text")))
+    text = F.to_json(F.struct(F.col("id").alias("publication_number"), block("title").alias("title_localized"), block("abstract").alias("abstract_localized"), block("first_claim").alias("claims_localized")))
+    r = c.select(F.from_json(text, S.RECORD_SCHEMA).alias("r")).select("r.*")
+    return S.records_to_rows(r, ["en"]).select("id", "title", "abstract", "first_claim")
+
+
 @query(
     "SELECT DISTINCT chebi_id AS child, 'CHEBI:' || (970000 + (CAST(substr(chebi_id, 7) AS INT) - 970000) // 6) AS parent FROM concept_names WHERE CAST(substr(chebi_id, 7) AS INT) > 970000 AND lang = 'en'"
 )

@@ -264,6 +264,32 @@ def test_snippets_of_all_descriptions(spark, tmp_path):
     assert got == {"0": "short text", "1": ("word " * 300)[:-1], "2": "x" * 1500, "3": "y" * 1500, "4": "", "5": None}
 
 
+def test_round_trips_of_all_rows(spark, tmp_path):
+    rows = [
+        ("a", "en", "A < B & C", 'x "y" &am', "use of <br"),
+        ("b", "zh", "锌", "催化剂", "一种&#x2"),
+        ("c", None, " t ", None, "c"),
+        ("d", 'n"/a', None, "abstract", " "),
+        ("e", "Deutsch", "", " ", None),
+    ]
+    spark.createDataFrame(rows, "id string, language string, title string, abstract string, first_claim string").write.parquet(str(tmp_path / "corpus.parquet"))
+    run = lambda name: {r[0]: tuple(r)[1:] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("markup_round_trip_all") == {
+        "a": (True, "en", "A < B & C", 'x "y" &am', "use of <br"),
+        "b": (True, "zh", "锌", "催化剂", "一种&#x2"),
+        "c": (True, None, "t", None, "c"),
+        "d": (False, 'n"/a', None, "abstract", None),
+        "e": (False, "Deutsch", None, None, None),
+    }
+    assert run("record_round_trip_all") == {
+        "a_en": ("A < B & C", 'x "y" &am', "use of <br"),
+        "b_en": ("锌", "催化剂", "一种&#x2"),
+        "c_en": ("t", "", "c"),
+        "d_en": ("", "abstract", ""),
+    }
+    assert run("html_claims_all") == {"a": ("use of <br",), "b": ("一种&#x2",), "c": ("c",), "d": ("",), "e": ("",)}
+
+
 def test_csv_round_trip(spark, tmp_path):
     row = ("1", "en", 'a "quoted"\nline', None, "d,e", "", "c", "P", "EP", "2020", "s", "A|B")
     df = spark.createDataFrame([row], files.CORPUS_SCHEMA)
