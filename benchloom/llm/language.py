@@ -35,18 +35,22 @@ FUNCTION_WORDS = {
 }
 
 #: Text in brackets or quotation marks belongs to the sentence around it, whatever its language.
-_ASIDE = re.compile(r"[(（\[][^()（）\[\]]{0,400}[)）\]]|“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»|\"[^\"]{0,400}\"|‹[^›]{0,400}›|「[^」]{0,400}」|《[^》]{0,400}》")
-_OPEN = re.compile(r"[(（\[“„«「《][^)）\]”»」》]*$")
-_MARKS = re.compile(r"[(（\[“„«\"‹「《]")
+_ASIDE = re.compile(r"[(（\[][^()（）\[\]]{0,400}[)）\]]|“[^”]{0,400}”|„[^“”]{0,400}[“”]|«[^»]{0,400}»|\"[^\"]{0,400}\"|‹[^›]{0,400}›|「[^」]{0,400}」|《[^》]{0,400}》|(?<![^\s(])»(?=\S)[^«»]{0,400}(?<=\S)«")
+#: Longer quotations whose closing mark opens elsewhere: whole sentences, which stay.
+_LONG = re.compile(r"„([^„“”]{401,})[“”]|(?<![^\s(])»(?=\S)([^«»]{401,})(?<=\S)«")
+#: A mark without its other half, up to the end of the sentence.
+_OPEN = re.compile(r"[(（\[“„«「《](?:(?![.!?](?:\s|$)|[。！？]).)*", re.DOTALL)
+_MARKS = re.compile(r"[(（\[“„«»\"‹「《]")
 
 
 def without_asides(text: str) -> str:
-    """Text without what stands in brackets or quotation marks, or in ones cut off at the end."""
+    """Text without what stands in brackets or quotation marks, or behind an unclosed one up to the end of its sentence."""
     if not _MARKS.search(text):
         return text
     text = _ASIDE.sub(" ", _ASIDE.sub(" ", text)) if "“" in text or "„" in text or "«" in text or '"' in text else _ASIDE.sub(" ", text)
-    m = _OPEN.search(text)
-    return text[: m.start()] if m and m.start() > 0 else text
+    text = _LONG.sub(lambda m: f" {m[1] or m[2]} ", text)
+    closed = 1 + max(text.rfind(c) for c in ")）]”»」》")
+    return text[:closed] + _OPEN.sub(lambda m: "" if closed + m.start() > 0 else m[0], text[closed:])
 
 
 def _vectors(seed: int = 7) -> np.ndarray:

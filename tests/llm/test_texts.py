@@ -170,6 +170,17 @@ def test_asides():
     assert without_asides("a (b) c “d” e") == "a   c   e" and without_asides("a „b (c) d“ e").split() == ["a", "e"]
 
 
+def test_unclosed_asides_end_with_their_sentence():
+    assert without_asides("One (two three. Four. Five.") == "One . Four. Five."
+    assert without_asides("One. Two (cut off") == "One. Two "
+    assert without_asides("(one two") == "(one two"
+    assert without_asides("Das »Wort« hier. Noch ein Satz.").split() == ["Das", "hier.", "Noch", "ein", "Satz."]
+    assert without_asides("a « b » c « d » e").split() == ["a", "c", "e"]
+    long = "Ein Satz. " * 50
+    for a, b in ("„“", "»«"):
+        assert without_asides(f"Vorher {a}{long}Ende{b} nachher. Noch einer.").split() == f"Vorher {long}Ende nachher. Noch einer.".split()
+
+
 def test_pairs(spark):
     train = [(f"t{k}{i}{n}", k, f"{s} Why is it so?", s) for k, v in SENTENCES.items() for i, s in enumerate(v) for n in range(4)]
     q = "What does the catalyst consist of?"
