@@ -257,16 +257,17 @@ def distinctive(c: Column) -> Column:
     return (F.length(c) >= 8) | c.rlike(r"[\d\- ]")
 
 
-def clean_swap(original: Column, replacement: Column) -> Column:
-    """Replacement is there, differs and doesn't hold the original, letter case ignored."""
-    a, b = F.lower(F.trim(original)), F.lower(F.trim(replacement))
-    return F.coalesce((b != "") & (a != "") & (a != b) & ~F.contains(b, a), F.lit(False))
-
-
 def term_pattern(term: Column) -> Column:
     """Regular expression of a term at word borders, letter case ignored; Chinese terms match anywhere."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.when(has_cjk(term), quoted).otherwise(F.concat(F.lit(r"(?iU)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+    # the literal comes first, so that the borders are only looked at where it matches
+    return F.when(has_cjk(term), quoted).otherwise(F.concat(F.lit("(?iU)"), quoted, F.lit(r"(?!\w)(?<!\w"), quoted, F.lit(")")))
+
+
+def clean_swap(original: Column, replacement: Column) -> Column:
+    """Replacement is there, differs and doesn't hold the original as a word of its own, letter case ignored."""
+    a, b = F.trim(original), F.trim(replacement)
+    return F.coalesce((b != "") & (a != "") & (F.lower(a) != F.lower(b)) & ~F.regexp_like(b, term_pattern(a)), F.lit(False))
 
 
 def replace_term(text: Column, term: Column, replacement: Column) -> Column:

@@ -19,27 +19,45 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, ancestor, depth) with the shortest depth, itself at 0.
+def walk(start: DataFrame, e: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) from pairs (node, ancestor) upwards over ``e`` (child, parent), shortest depth, the start at 0.
 
-    Frontier by frontier: each round joins only the pairs found last and keeps new ones, so a pair is
-    expanded once however many paths lead to it. Cycles end, as their pairs are known.
+    Frontier by frontier until none is new: each round joins only the pairs found last and drops those of
+    earlier frontiers, so a pair is expanded and written once however many paths lead to it, and cycles end.
     """
-    e = cut_lineage(edges.select("child", "parent").where("child is not null and parent is not null").distinct())
-    nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    done = frontier = cut_lineage(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
-    for depth in range(1, most + 1):
-        step = frontier.join(e, frontier.ancestor == e.child).select("node", F.col("parent").alias("ancestor")).distinct()
-        frontier = cut_lineage(step.join(done, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    frontiers = [cut_lineage(start.select("node", "ancestor", F.lit(0).alias("depth")))]
+    while True:
+        last = frontiers[-1]
+        step = last.join(e, last.ancestor == e.child).select("node", F.col("parent").alias("ancestor")).distinct()
+        for known in frontiers:
+            step = step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        new = cut_lineage(step.withColumn("depth", F.lit(len(frontiers))))
+        if new.isEmpty():
             break
-        done = cut_lineage(done.unionByName(frontier))
-    return done
+        frontiers.append(new)
+    out = frontiers[0]
+    for f in frontiers[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def links(edges: DataFrame) -> DataFrame:
+    return edges.select("child", "parent").where("child is not null and parent is not null").distinct()
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) with the shortest depth, itself at 0."""
+    e = cut_lineage(links(edges))
+    nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
+    return walk(nodes.select("node", F.col("node").alias("ancestor")), e)
 
 
 def descendants(edges: DataFrame, root: str) -> DataFrame:
-    """(node): everything below a root, and the root."""
-    return closure(edges).where(F.col("ancestor") == root).select("node")
+    """(node): everything below a root, and the root; walks down from the root only. Empty for a root without edges."""
+    e = links(edges)
+    there = e.where((F.col("child") == root) | (F.col("parent") == root)).select(F.lit(root).alias("node"), F.lit(root).alias("ancestor")).distinct()
+    down = walk(there, cut_lineage(e.select(F.col("parent").alias("child"), F.col("child").alias("parent"))))
+    return down.select(F.col("ancestor").alias("node"))
 
 
 def leaves(edges: DataFrame) -> DataFrame:

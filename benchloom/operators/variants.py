@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.perturb import perturbed
+from ..functions.perturb import draw, perturbed
+from . import matching as M
 
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 TEXT_FIELDS = ("title", "abstract", "description", "first_claim", "context")
@@ -30,133 +27,147 @@ def holds(text: Column, term: Column) -> Column:
 
 
 def replace_in_fields(rows: DataFrame, term: Column, replacement: Column, fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
-    """``rows`` with every occurrence of the term replaced in all text fields, and ``changed``."""
-    changed = F.lit(False)
-    for f in fields:
-        changed = changed | holds(F.coalesce(F.col(f), F.lit("")), term)
-    return rows.withColumn("changed", changed).withColumns({f: T.replace_term(F.col(f), term, replacement) for f in fields})
+    """``rows`` with every occurrence of the term replaced in all text fields, and ``changed``; fields without it aren't searched twice."""
+    flagged = rows.withColumns({f"_{f}": holds(F.coalesce(F.col(f), F.lit("")), term) for f in fields})
+    changed = F.greatest(*[F.col(f"_{f}") for f in fields]) if len(fields) > 1 else F.col(f"_{fields[0]}")
+    out = flagged.withColumns({"changed": changed, **{f: F.when(F.col(f"_{f}"), T.replace_term(F.col(f), term, replacement)).otherwise(F.col(f)) for f in fields}})
+    return out.drop(*[f"_{f}" for f in fields])
 
 
 def order(seed: int, *columns: str) -> Column:
     """Seeded order."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns).cast("binary"))
+    return draw(F.lit(str(seed)), *map(F.col, columns))
+
+
+def anchor_names(names: DataFrame) -> DataFrame:
+    """(concept, name_language, term) that may anchor a concept: names in the languages of rows, and of the
+    ontology's forms (``chebi``) the primary one and the distinctive ones; ``names`` is (concept, lang, surface, primary)."""
+    use = F.col("lang").isin(*LANGUAGES) | ((F.col("lang") == "chebi") & (F.col("primary") | T.distinctive(F.col("surface"))))
+    return names.where(use).select("concept", F.col("lang").alias("name_language"), F.trim("surface").alias("term")).distinct()
+
+
+def named_rows(names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, pub, anchor_language, concept, natural, term): names that each row of a known language holds.
+
+    Names of the row's own language are natural ones; the ontology's forms count where the row holds no natural
+    name of the concept. The texts are read once; only keys and names leave this step.
+    """
+    fields = tuple(f for f in TEXT_FIELDS if f in rows.columns)
+    use = rows.where(F.col("language").isin(*LANGUAGES)).select("id", "pub", F.col("language").alias("anchor_language"), document_text(fields).alias("doc"))
+    hits = M.term_hits(use, anchor_names(names), ("id", "pub", "anchor_language"), "doc")
+    hits = hits.withColumn("natural", F.col("name_language") == F.col("anchor_language")).where(F.col("natural") | (F.col("name_language") == "chebi"))
+    best = F.max("natural").over(Window.partitionBy("id", "pub", "anchor_language", "concept"))
+    return hits.withColumn("_best", best).where("natural = _best").select("id", "pub", "anchor_language", "concept", "natural", "term")
 
 
 def anchors(concept_pubs: DataFrame, names: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
-    """(concept, pub, anchor_language, term, id): per concept and publication a row and a name of its language that it holds.
+    """(concept, pub, anchor_language, term, id): per concept and publication a row and a name that it holds.
 
-    A distinctive name of the row's own language comes first, then any of its names, then any name of the
-    concept; within these the seeded order decides.
+    Natural names of any of the publication's rows come before forms of the ontology; of equal ones the
+    seeded order decides.
     """
-    use = rows.where(F.col("language").isin(*LANGUAGES)).select("id", "pub", F.col("language").alias("anchor_language"), document_text(tuple(f for f in TEXT_FIELDS if f in rows.columns)).alias("doc"))
-    pairs = concept_pubs.join(use, "pub").join(names.select("concept", F.col("lang").alias("name_language"), T.clean_name(F.col("surface")).alias("term")).distinct(), "concept")
-    found = pairs.where(holds(F.col("doc"), F.col("term")))
-    own = F.col("name_language") == F.col("anchor_language")
-    rank = F.when(own & T.distinctive(F.col("term")), 0).when(own, 1).otherwise(2)
-    w = Window.partitionBy("concept", "pub").orderBy(rank, order(seed, "id", "term"), "id", "term", "name_language")
+    found = named_rows(names, rows).join(concept_pubs.select("concept", "pub"), ["concept", "pub"], "left_semi")
+    w = Window.partitionBy("concept", "pub").orderBy(F.desc("natural"), order(seed, "id", "term"), "id", "term")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("concept", "pub", "anchor_language", "term", "id")
 
 
+def row_anchors(concept_pubs: DataFrame, names: DataFrame, rows: DataFrame) -> DataFrame:
+    """(concept, pub, anchor_language, term, id): for every row one name of every concept that it holds, the smallest."""
+    found = named_rows(names, rows).join(concept_pubs.select("concept", "pub"), ["concept", "pub"], "left_semi")
+    return found.groupBy("concept", "pub", "anchor_language", "id").agg(F.min("term").alias("term")).select("concept", "pub", "anchor_language", "term", "id")
+
+
 def replacements(anchor: DataFrame, names: DataFrame, rows: DataFrame, modes: tuple[str, ...], seed: int) -> DataFrame:
-    """(anchor..., mode, target, replacement): for each mode the replacement of an anchor, if there is a clean one.
+    """(anchor..., mode, target, replacement): for each mode one replacement of an anchor, if there is a clean one.
 
-    B a name in another language that the publication has, C in one that it lacks, D another spelling,
-    F another form of the ontology, formulas first.
+    A the term as it is; B a name in another language that the publication has, C in one that it lacks, F a form
+    of the ontology, those with a digit first; D another spelling. Of equal ones the seeded order decides. The
+    names of a concept, a few, stand in one array, so each anchor meets them once.
     """
     have = rows.where(F.col("language").isin(*LANGUAGES)).groupBy("pub").agg(F.collect_set("language").alias("have"))
-    a = anchor.join(have, "pub")
-    n = names.select("concept", F.col("lang").alias("target"), T.clean_name(F.col("surface")).alias("replacement")).distinct()
-    cand = a.join(n, "concept").where(T.clean_swap(F.col("term"), F.col("replacement")))
-    here = F.array_contains("have", F.col("target"))
-    mode = F.when(F.col("target") == "chebi", "F").when(~F.col("target").isin(*LANGUAGES), F.lit(None)).when(here & (F.col("target") != F.col("anchor_language")), "B").when(~here, "C")
-    lexical = cand.withColumn("mode", mode).where(F.col("mode").isin(*modes))
-    digits = F.when((F.col("mode") == "F") & F.col("replacement").rlike(r"\d"), 0).otherwise(1)
-    w = Window.partitionBy("concept", "pub", "mode").orderBy(digits, order(seed, "target", "replacement"), "target", "replacement")
-    out = lexical.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*anchor.columns, "mode", "target", "replacement")
-    if "D" in modes:
-        spelled = anchor.select(*anchor.columns, F.lit("D").alias("mode"), F.col("anchor_language").alias("target"), perturbed(F.col("term"), F.concat_ws("|", F.lit(str(seed)), "concept", "pub")).alias("replacement"))
-        out = out.unionByName(spelled.where("replacement is not null"))
-    return out
-
-
-def code_switched(anchor: DataFrame, swaps: DataFrame, rows: DataFrame, copies: bool = True) -> DataFrame:
-    """Variant rows: the anchor row as it is (A), and with its term replaced by each mode; rows in which nothing changed are left out.
-
-    ``rows`` has id and the text fields; the result adds variant, concept, original_term, replacement_term,
-    anchor_language, target_language, source_id and source_publication_number.
+    new = F.when(F.col("lang") == "chebi", F.col("surface")).otherwise(T.clean_name(F.col("surface")))
+    n = names.select("concept", F.col("lang").alias("target"), new.alias("replacement")).where(F.col("target").isin(*LANGUAGES, "chebi")).distinct()
+    n = n.groupBy("concept").agg(F.collect_list(F.struct(draw(F.lit(str(seed)), F.col("target"), F.col("replacement")).alias("h"), "target", "replacement")).alias("options"))
+    met = anchor.join(have, "pub").join(n, "concept", "left")
+    clean = F.filter(F.coalesce("options", F.array().cast("array<struct<h:string,target:string,replacement:string>>")), lambda o: T.clean_swap(F.col("term"), o["replacement"]))
+    met = met.withColumn("options", clean)
+    here = lambda o: F.array_contains("have", o["target"])
+    of = {
+        "B": lambda o: (o["target"] != "chebi") & (o["target"] != F.col("anchor_language")) & here(o),
+        "C": lambda o: (o["target"] != "chebi") & ~here(o),
+        "F": lambda o: o["target"] == "chebi",
+    }
+    choice = lambda mode, o: F.struct(F.lit(mode).alias("mode"), o["target"].alias("target"), o["replacement"].alias("replacement"))
+    picks = []
+    for m in modes:
+        if m in of:
+            ranked = F.transform(F.filter("options", of[m]), lambda o: F.struct(F.when(o["replacement"].rlike(r"\d") & F.lit(m == "F"), 0).otherwise(1).alias("r"), o["h"], o["target"], o["replacement"]))
+            best = F.try_element_at(F.sort_array(ranked), F.lit(1))
+            picks.append(F.when(best.isNotNull(), choice(m, {"target": best["target"], "replacement": best["replacement"]})))
+        elif m == "D":
+            spelled = perturbed(F.col("term"), F.concat_ws("|", F.lit(str(seed)), "concept", "pub"))
+            picks.append(F.when(spelled.isNotNull(), choice(m, {"target": F.col("anchor_language"), "replacement": spelled})))
+        else:
+            picks.append(choice(m, {"target": F.lit(""), "replacement": F.lit("")}))
+    each = met.select(*anchor.columns, F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("s"))
+    return each.select(*anchor.columns, "s.mode", "s.target", "s.replacement")
+
+
+def code_switched(swaps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Variant rows: the anchor row as it is (mode A), and with its term replaced; rows in which nothing changed are left out.
+
+    ``rows`` has id and the text fields, all of which are carried; the result adds variant, concept, original_term,
+    replacement_term, anchor_language, target_language, source_id and source_publication_number.
     """
-    tracked = lambda d: d.select(F.col("mode").alias("variant"), "concept", F.col("term").alias("original_term"), F.col("replacement").alias("replacement_term"), "anchor_language", F.col("target").alias("target_language"), F.col("id").alias("source_id"), F.col("pub").alias("source_publication_number"))
+    tracked = swaps.select(
+        F.col("mode").alias("variant"), "concept", F.col("term").alias("original_term"), F.col("replacement").alias("replacement_term"), "anchor_language",
+        F.col("target").alias("target_language"), F.col("id").alias("source_id"), F.col("pub").alias("source_publication_number"),
+    )
     fields = tuple(f for f in TEXT_FIELDS if f in rows.columns)
-    made = tracked(swaps).join(rows.drop("pub", "language"), F.col("source_id") == rows["id"]).drop("id")
-    made = replace_in_fields(made, F.col("original_term"), F.col("replacement_term"), fields).where("changed").drop("changed")
-    if copies:
-        plain = anchor.select("*", F.lit("A").alias("mode"), F.lit("").alias("target"), F.lit("").alias("replacement"))
-        made = made.unionByName(tracked(plain).join(rows.drop("pub", "language"), F.col("source_id") == rows["id"]).drop("id").select(made.columns))
+    made = tracked.join(rows.select(F.col("id").alias("source_id"), *fields), "source_id")
+    copy = F.col("variant") == "A"
+    made = replace_in_fields(made, F.when(copy, "").otherwise(F.col("original_term")), F.col("replacement_term"), fields).where(copy | F.col("changed")).drop("changed")
     return made.withColumn("id", F.concat_ws("__", "source_id", "variant", "concept"))
 
 
-def swappable(swaps: DataFrame) -> DataFrame:
-    """(pub, id, anchor_language, steps): per anchored row the terms with their modes, in order."""
-    one = swaps.select("pub", "id", "anchor_language", F.struct("concept", "term", "mode", "target", "replacement").alias("s"))
-    return one.groupBy("pub", "id", "anchor_language").agg(F.sort_array(F.collect_list("s")).alias("steps"))
-
-
-def ladder(rows: DataFrame, swaps: DataFrame, n_steps: int, seed: int) -> DataFrame:
-    """(id, base_id, depth, mode, text..., replacements_json): each base row with 0 to ``n_steps`` terms replaced, cumulatively.
+def ladder(rows: DataFrame, swaps: DataFrame, concept_labels: DataFrame, n_steps: int, seed: int) -> DataFrame:
+    """Each base row with 0 to ``n_steps`` terms replaced, cumulatively.
 
-    Per publication the row with the most swappable terms, by the order of languages on ties; ``n_steps``
-    terms in seeded order whose surfaces don't overlap, each with one seeded mode. A base in which a term is
-    gone before its turn is dropped as a whole.
+    (id, base_id, source_publication_number, anchor_language, depth, mode_added, question_concept_chebi_id,
+    question_concept_name, question_original_term, text..., replacements_json). Per publication the row with
+    the most swappable terms, by the order of languages on ties; ``n_steps`` terms in seeded order whose
+    surfaces don't overlap, each with one seeded mode; the question is about the first. A base in which a
+    term is gone before its turn is dropped as a whole. Everything up to the choice works on keys; the
+    texts join once. ``concept_labels`` is (concept, name).
     """
-    terms = swappable(swaps).withColumn("n", F.size(F.array_distinct(F.transform("steps", lambda s: s["concept"])))).where(F.col("n") >= n_steps)
+    s = lambda *c: order(seed, "id", *c)
+    one = swaps.groupBy("pub", "id", "anchor_language", "concept").agg(F.min(F.struct(s("concept", "mode", "replacement").alias("h"), "term", "mode", "target", "replacement")).alias("m"))
+    step = F.struct(s("concept").alias("h"), "concept", "m.term", "m.mode", "m.target", "m.replacement")
+    terms = one.groupBy("pub", "id", "anchor_language").agg(F.sort_array(F.collect_list(step)).alias("steps")).withColumn("n", F.size("steps")).where(F.col("n") >= n_steps)
     place = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("anchor_language"))
     w = Window.partitionBy("pub").orderBy(F.desc("n"), place, "id")
-    base = terms.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("pub", F.col("id").alias("base_id"), "anchor_language", F.to_json("steps").alias("steps"))
+    base = terms.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    low = lambda x: F.lower(x["term"])
+    clash = lambda a, b: F.contains(low(a), low(b)) | F.contains(low(b), low(a))
+    add = lambda acc, x: F.when((F.size(acc) < n_steps) & ~F.exists(acc, lambda t: clash(t, x)), F.array_append(acc, x)).otherwise(acc)
+    chosen = base.withColumn("chosen", F.aggregate("steps", F.slice("steps", 1, 0), add)).where(F.size("chosen") == n_steps)
+    chosen = chosen.withColumn("concept", F.element_at("chosen", 1)["concept"]).join(concept_labels, "concept", "left")
     fields = [f for f in TEXT_FIELDS if f in rows.columns]
-    joined = base.join(rows.select(F.col("id").alias("base_id"), *fields), "base_id")
-
-    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        import re
-
-        def pattern(term: str) -> re.Pattern:
-            if re.search("[぀-ヿ㐀-鿿가-힯豈-﫿]", term):
-                return re.compile(re.escape(term))
-            return re.compile(rf"(?<!\w){re.escape(term)}(?!\w)", re.IGNORECASE)
-
-        for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                by: dict[str, list[dict]] = {}
-                for s in json.loads(r["steps"]):
-                    by.setdefault(s["concept"], []).append(s)
-                key = lambda x: hashlib.blake2b(f"{seed}|{r['base_id']}|{x}".encode(), digest_size=8).digest()  # noqa: B023, E731
-                chosen: list[dict] = []
-                for c in sorted(by, key=key):
-                    s = sorted(by[c], key=lambda x: key(f"{x['mode']}|{x['replacement']}"))[0]
-                    surface = s["term"].casefold()
-                    if all(surface not in t["term"].casefold() and t["term"].casefold() not in surface for t in chosen):
-                        chosen.append(s)
-                    if len(chosen) == n_steps:
-                        break
-                if len(chosen) < n_steps:
-                    continue
-                texts = {f: r[f] or "" for f in fields}
-                rungs = [(0, "none", dict(texts))]
-                for depth, s in enumerate(chosen, 1):
-                    rx, hits = pattern(s["term"]), 0
-                    for f in fields:
-                        texts[f], n = rx.subn(lambda m: s["replacement"], texts[f])  # noqa: B023
-                        hits += n
-                    if not hits:
-                        break
-                    rungs.append((depth, s["mode"], dict(texts)))
-                if len(rungs) <= n_steps:
-                    continue
-                steps = [{"step": i + 1, "concept_id": s["concept"], "original": s["term"], "replacement": s["replacement"], "mode": s["mode"], "target_language": s["target"]} for i, s in enumerate(chosen)]
-                for depth, mode, t in rungs:
-                    out.append([f"{r['base_id']}__r{depth}", r["base_id"], r["pub"], r["anchor_language"], depth, mode, *[t[f] for f in fields], json.dumps(steps[:depth], ensure_ascii=False)])
-            yield pd.DataFrame(out, columns=["id", "base_id", "source_publication_number", "anchor_language", "depth", "mode_added", *fields, "replacements_json"])
-
-    kinds = "id string, base_id string, source_publication_number string, anchor_language string, depth int, mode_added string, " + ", ".join(f"{f} string" for f in fields) + ", replacements_json string"
-    return joined.mapInPandas(climb, kinds)
+    full = chosen.join(rows.select("id", *[F.coalesce(f, F.lit("")).alias(f) for f in fields]), "id")
+
+    def swapped(state: Column, x: Column) -> Column:
+        found = F.lit(False)
+        for f in fields:
+            found = found | holds(state[f], x["term"])
+        return F.struct(*[T.replace_term(state[f], x["term"], x["replacement"]).alias(f) for f in fields], (state["whole"] & found).alias("whole"))
+
+    start = F.array(F.struct(*fields, F.lit(True).alias("whole")))
+    climbed = full.withColumn("rungs", F.aggregate("chosen", start, lambda acc, x: F.array_append(acc, swapped(F.element_at(acc, -1), x))))
+    told = F.transform("chosen", lambda x, i: F.named_struct(F.lit("step"), i + 1, F.lit("concept_id"), x["concept"], F.lit("original"), x["term"], F.lit("replacement"), x["replacement"], F.lit("mode"), x["mode"], F.lit("target_language"), x["target"]))
+    each = climbed.where(F.element_at("rungs", -1)["whole"]).select("id", "pub", "anchor_language", "concept", "name", "chosen", told.alias("told"), F.posexplode("rungs").alias("depth", "r"))
+    return each.select(
+        F.concat("id", F.lit("__r"), "depth").alias("id"), F.col("id").alias("base_id"), F.col("pub").alias("source_publication_number"), "anchor_language", "depth",
+        F.when(F.col("depth") == 0, "none").otherwise(F.try_element_at("chosen", F.greatest("depth", F.lit(1)))["mode"]).alias("mode_added"),
+        F.col("concept").alias("question_concept_chebi_id"), F.col("name").alias("question_concept_name"), F.element_at("chosen", 1)["term"].alias("question_original_term"),
+        *[F.col("r")[f].alias(f) for f in fields], F.to_json(F.slice("told", F.lit(1), F.col("depth"))).alias("replacements_json"),
+    )
