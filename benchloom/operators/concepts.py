@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import graph
+from . import matching as M
 
 
 def concept_publications(hits: DataFrame, doc_pubs: DataFrame) -> DataFrame:
@@ -102,3 +103,26 @@ def check_rates(checks: DataFrame) -> DataFrame:
 def mismatches(checks: DataFrame, most: int = 40) -> DataFrame:
     """(concept, lang, title, instead, n): names most often used instead of the title, a top-n report."""
     return checks.where("instead is not null").groupBy("concept", "lang", "title", "instead").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "concept", "lang", "instead").limit(most)
+
+
+def alias_graph(hits: DataFrame, docs: DataFrame, names: DataFrame, edges: DataFrame, n_docs: int, max_ratio: float, min_gold: int, min_neg: int, most: int | None = None, root: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The benchmark of concepts: manifest, gold publications and hard negatives.
+
+    ``hits`` is a scan with the whole index, ``docs`` (doc, pub, language) of known publications, ``names``
+    (concept, lang, surface, primary). Names in more than ``max_ratio`` of the documents are pruned; as each
+    name is found on its own, pruning the hits equals scanning again with the pruned index. Manifest (concept,
+    name, n_gold, n_hard_neg, gold_langs, n_neighbors), gold (concept, pub), negatives (concept, pub, neighbor,
+    relation) stay tables, so that no concept's publications need to fit into one row.
+    """
+    stop = M.stop_names(M.name_document_frequency(hits), n_docs, max_ratio)
+    left = hits.join(stop, "norm", "left_anti").select("doc", "concept").distinct().join(docs, "doc")
+    gold = left.select("concept", "pub").distinct()
+    cand = candidates(gold, edges, min_gold, root)
+    negatives = hard_negatives(gold, cand, edges)
+    kept = kept_concepts(gold, edges, min_gold, min_neg, most, root)
+    langs = left.select("concept", "language").where("language is not null").distinct().groupBy("concept").agg(F.sort_array(F.collect_list("language")).alias("gold_langs"))
+    near = graph.neighbor_relations(edges).join(gold.select(F.col("concept").alias("neighbor")).distinct(), "neighbor", "left_semi").groupBy(F.col("node").alias("concept")).agg(F.count("*").alias("n_neighbors"))
+    label = names.where("primary").groupBy("concept").agg(F.min("surface").alias("name"))
+    manifest = kept.join(label, "concept", "left").join(langs, "concept", "left").join(near, "concept", "left")
+    manifest = manifest.select("concept", F.coalesce("name", "concept").alias("name"), "n_gold", "n_hard_neg", F.coalesce("gold_langs", F.array().cast("array<string>")).alias("gold_langs"), F.coalesce("n_neighbors", F.lit(0)).alias("n_neighbors"))
+    return manifest, gold.join(kept.select("concept"), "concept", "left_semi"), negatives.join(kept.select("concept"), "concept", "left_semi")

@@ -56,8 +56,17 @@ def question_quotas(total: int, n_languages: int = 4) -> dict[int, int]:
     return dict(enumerate(min(splits, key=lambda s: (max(s) - min(s), abs(4 * s[3] - total))), 1))
 
 
-def generation_plan(publications: DataFrame, pool: int, per_mode: int, seed: int, n_languages: int = 4) -> DataFrame:
-    """(publication_number, mode, strategy): a seeded pool, one half for each mode, strategies by their quotas in order."""
+def generation_plan(publications: DataFrame, pool: int, per_mode: int, seed: int, n_languages: int = 4, strict: bool = True) -> DataFrame:
+    """(publication_number, mode, strategy): a seeded pool, one half for each mode, strategies by their quotas in order.
+
+    Raises ``ValueError`` where there are fewer publications than the pool or its halves hold fewer than the
+    quotas need; with ``strict`` off the plan is short instead.
+    """
+    if strict:
+        needed = sum(n // n_languages if k == 4 else n for k, n in question_quotas(per_mode, n_languages).items())
+        have = publications.select("publication_number").distinct().count()
+        if have < pool or pool // 2 < needed:
+            raise ValueError(f"{have} publications, a pool of {pool} and {needed} documents a mode don't go together")
     quotas = question_quotas(per_mode, n_languages)
     w = Window.orderBy(seeded(seed, "publication_number"), "publication_number")
     ranked = publications.select("publication_number").distinct().orderBy(seeded(seed, "publication_number"), "publication_number").limit(pool).withColumn("_r", F.row_number().over(w) - 1)

@@ -6,6 +6,8 @@ title is a concept's primary name. The geography tables give a forest of four le
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,21 @@ from ..functions import text as T
 from ..operators import concepts as K
 from ..operators import graph as G
 from ..operators import matching as M
+from ..operators.corpus import known
+from .corpus import KNOWN, LOST
 from .registry import query, table
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+    """A small table that many queries share (closure, index), written once per session and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = G.cut_lineage(make())
+    return _kept[key]
+
+
 # ---------------------------------------------------------------- taxonomy
 
 
@@ -87,14 +102,27 @@ def concept_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "concept_names").where("title is not null and trim(title) != ''").select(F.col("chebi_id").alias("concept"), "lang", F.col("title").alias("surface"), (F.col("lang") == "en").alias("primary")).distinct()
 
 
+#: Ranges whose compatibility forms the SQL knows: Latin-1 and Extended-A, spaces, sub- and superscripts, letter-like signs,
+#: radicals, Chinese marks, squared units, ligatures, full and half width.
+_RANGES = ((0xA0, 0x180), (0x2000, 0x20A0), (0x2100, 0x2150), (0x2E80, 0x2FE0), (0x3000, 0x3040), (0x3300, 0x3400), (0xFB00, 0xFB07), (0xFF00, 0xFFF0))
+_FORMS = {chr(i): unicodedata.normalize("NFKC", chr(i)) for a, b in _RANGES for i in range(a, b) if unicodedata.normalize("NFKC", chr(i)) != chr(i)}
+COMPAT = "compat AS (SELECT MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in _FORMS.items()) + "} AS forms)"
+
+
+def folded_sql(c: str) -> str:
+    """SQL of the folded form; the query must have ``forms`` of COMPAT at hand."""
+    form = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({c}, '(?s).'), lambda x: coalesce(forms[x], x)), ''))"
+    return f"replace(replace(lower(CASE WHEN regexp_matches({c}, '[^\\x00-\\x7f]') THEN {form} ELSE {c} END), 'ß', 'ss'), 'ς', 'σ')"
+
+
 def tokens_sql(c: str) -> str:
     """SQL list of the folded tokens of a text."""
-    return rf"list_filter(list_transform(regexp_split_to_array(replace(lower({c}), 'ß', 'ss'), '[\s\x0b\x{{85}}\p{{Z}}]+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{200C}}\x{{200D}}]+|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{200C}}\x{{200D}}]+$', '', 'g')), lambda w: w != '')"
+    return rf"list_filter(list_transform(regexp_split_to_array({folded_sql(c)}, '[\s\x0b\x{{85}}\p{{Z}}]+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{200C}}\x{{200D}}]+|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\x{{200C}}\x{{200D}}]+$', '', 'g')), lambda w: w != '')"
 
 
 _BLACK = "(" + ", ".join(f"'{w}'" for w in M.BLACKLIST) + ")"
-INDEX = rf"""{EDGE}, nm AS (SELECT DISTINCT chebi_id AS concept, lang, title AS surface, lang = 'en' AS prim FROM concept_names WHERE trim(title) != ''),
-tk AS (SELECT *, array_to_string(t, ' ') AS norm, len(t) AS n_tokens, regexp_matches(surface, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}\x{{f900}}-\x{{faff}}]') AS cjk FROM (SELECT *, {tokens_sql('surface')} AS t FROM nm) WHERE len(t) BETWEEN 1 AND 8),
+INDEX = rf"""{COMPAT}, {EDGE}, nm AS (SELECT DISTINCT chebi_id AS concept, lang, title AS surface, lang = 'en' AS prim FROM concept_names WHERE trim(title) != ''),
+tk AS (SELECT *, array_to_string(t, ' ') AS norm, len(t) AS n_tokens, regexp_matches(surface, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}\x{{f900}}-\x{{faff}}]') AS cjk FROM (SELECT *, {tokens_sql('surface')} AS t FROM nm, compat) WHERE len(t) BETWEEN 1 AND 8),
 own AS (SELECT DISTINCT norm, concept FROM tk WHERE prim),
 kept AS (SELECT * FROM tk k WHERE (k.prim OR NOT EXISTS (SELECT 1 FROM own o WHERE o.norm = k.norm AND o.concept != k.concept) OR EXISTS (SELECT 1 FROM own o WHERE o.norm = k.norm AND o.concept = k.concept))
   AND CASE WHEN cjk THEN length(replace(norm, ' ', '')) >= 2 ELSE length(norm) >= 4 AND norm NOT IN {_BLACK} AND NOT regexp_matches(norm, '^[0-9]+$') END),
@@ -106,8 +134,12 @@ ix AS (SELECT * FROM ix1 WHERE norm IN (SELECT norm FROM ix1 GROUP BY 1 HAVING c
 
 
 def index(spark: SparkSession, d: str) -> DataFrame:
-    """The index, written once: a scan uses it for both kinds of names."""
-    return G.cut_lineage(M.name_index(concept_names(spark, d), G.closure(concept_edges(spark, d))))
+    """The index of all names."""
+    return once(spark, d, "index", lambda: M.name_index(concept_names(spark, d), concept_closure(spark, d)))
+
+
+def concept_closure(spark: SparkSession, d: str) -> DataFrame:
+    return once(spark, d, "closure", lambda: G.closure(concept_edges(spark, d)))
 
 
 @query(f"WITH {INDEX} SELECT norm, cjk, CAST(n_tokens AS INT) AS n_tokens, concept, array_to_string(langs, ',') AS langs FROM ix")
@@ -117,17 +149,23 @@ def name_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts; an id that was delivered twice stays twice, as its texts are equal and hits are distinct."""
-    return table(spark, d, "corpus", "id", "abstract", "publication_number", "language").where("id is not null").withColumnRenamed("abstract", "text")
+    """Whole contexts; an id that was delivered twice stays twice, as its texts are equal and hits are distinct."""
+    return table(spark, d, "corpus", "id", "context", "publication_number", "language").where("id is not null").withColumnRenamed("context", "text")
+
 
+def doc_pubs(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, pub, language) of known publications."""
+    c = table(spark, d, "corpus", "id", "publication_number", "language").where("id is not null")
+    return c.select(F.col("id").alias("doc"), F.trim("publication_number").alias("pub"), "language").where(known("pub")).distinct()
 
-DOCS = rf"docs AS (SELECT id, any_value(trim(publication_number)) AS pub, any_value(language) AS language, any_value(abstract) AS text FROM corpus GROUP BY 1), dt AS (SELECT id, pub, language, ' ' || array_to_string({tokens_sql('text')}, ' ') || ' ' AS spaced, array_to_string({tokens_sql('text')}, '') AS dense FROM docs WHERE text IS NOT NULL)"
+
+DOCS = rf"docs AS (SELECT id, any_value(trim(publication_number)) AS pub, any_value(language) AS language, any_value(context) AS text FROM corpus GROUP BY 1), dt AS (SELECT id, pub, language, ' ' || array_to_string(tk, ' ') || ' ' AS spaced, array_to_string(tk, '') AS dense FROM (SELECT *, {tokens_sql('text')} AS tk FROM docs, compat WHERE text IS NOT NULL))"
 HITS = "hit AS (SELECT DISTINCT dt.id AS doc, dt.pub, ix.concept, ix.norm, ix.n_tokens, ix.cjk FROM dt JOIN ix ON CASE WHEN ix.cjk THEN contains(dense, replace(ix.norm, ' ', '')) ELSE contains(spaced, ' ' || ix.norm || ' ') END)"
 
 
 @query(f"WITH {INDEX}, {DOCS}, {HITS} SELECT doc, concept, norm, CAST(n_tokens AS INT) AS n_tokens, cjk FROM hit")
 def name_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Names that each abstract holds."""
+    """Names that each context holds."""
     return M.scan(corpus_docs(spark, d), index(spark, d))
 
 
@@ -152,25 +190,36 @@ def pruned_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {INDEX}, {DOCS} SELECT id, concept, contains(spaced, ' ' || norm || ' ') AS named FROM dt JOIN (SELECT concept, norm FROM ix WHERE NOT cjk AND list_contains(langs, 'en')) n ON true WHERE contains(spaced, ' ' || norm || ' ')"""
+    rf"""WITH {COMPAT}, {DOCS}, look AS (SELECT DISTINCT "corpus-id" AS id, neighbor_name AS name, {tokens_sql('neighbor_name')} AS tk, regexp_matches(neighbor_name, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}\x{{f900}}-\x{{faff}}]') AS cjk FROM hard_negatives, compat WHERE neighbor_name IS NOT NULL)
+    SELECT id, name, len(tk) BETWEEN 1 AND 8 AND CASE WHEN cjk THEN contains(dense, array_to_string(tk, '')) ELSE contains(spaced, ' ' || array_to_string(tk, ' ') || ' ') END AS named FROM look JOIN dt USING (id)"""
 )
 def contains_name(spark: SparkSession, d: str) -> DataFrame:
-    """Containment test of tokens on the pairs that the scan finds."""
-    ix = index(spark, d).where("not cjk and array_contains(langs, 'en')")
-    docs = corpus_docs(spark, d)
-    hits = M.scan(docs, ix)
-    toks = docs.select(F.col("id").alias("doc"), M.normalized(F.col("text")).alias("t"))
-    named = T.contains_name(F.col("t"), F.split("norm", " "), F.col("cjk"))
-    return hits.join(toks, "doc").select(F.col("doc").alias("id"), "concept", named.alias("named")).distinct()
+    """Whether each look-alike passage names the neighbor for which it was taken."""
+    look = table(spark, d, "hard_negatives", "corpus-id", "neighbor_name").where("neighbor_name is not null").select(F.col("corpus-id").alias("id"), F.col("neighbor_name").alias("name")).distinct()
+    docs = table(spark, d, "corpus", "id", "context").where("context is not null").join(look.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    both = look.withColumn("n", M.normalized(F.col("name"))).join(docs.withColumn("t", M.normalized(F.col("context"))), "id")
+    return both.select("id", "name", T.contains_name(F.col("t"), F.col("n"), T.has_cjk(F.col("name"))).alias("named"))
+
 
+@query(
+    f"""WITH {INDEX}, {DOCS}, {HITS} SELECT doc, concept, norm, CASE WHEN list_contains(langs, language) THEN language WHEN len(list_filter(langs, lambda x: x != 'chebi')) = 0 THEN 'chebi' ELSE list_filter(langs, lambda x: x != 'chebi')[1] END AS name_language FROM (
+      SELECT h.*, ix.langs, docs.language, row_number() OVER (PARTITION BY doc, h.concept ORDER BY h.cjk DESC, h.n_tokens DESC, h.norm DESC) AS r FROM hit h JOIN ix ON ix.norm = h.norm AND ix.concept = h.concept AND ix.cjk = h.cjk JOIN docs ON docs.id = h.doc) WHERE r = 1"""
+)
+def match_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The name by which a document is matched to a concept, and the language of that name."""
+    ix = index(spark, d)
+    best = M.best_match(M.scan(corpus_docs(spark, d), ix))
+    lang = table(spark, d, "corpus", "id", "language").where("id is not null").select(F.col("id").alias("doc"), "language").distinct()
+    langs = ix.groupBy("norm", "concept").agg(F.min("langs").alias("langs"))
+    return best.join(langs, ["norm", "concept"]).join(lang, "doc").select("doc", "concept", "norm", M.pick_language(F.col("langs"), F.col("language")).alias("name_language"))
 
-PUBS = "pubs AS (SELECT DISTINCT concept, pub FROM hit WHERE pub != '')"
 
+PUBS = f"pubs AS (SELECT DISTINCT concept, pub FROM hit WHERE pub NOT IN ('', {LOST}))"
 
-def pubs(spark: SparkSession, d: str, ix: DataFrame | None = None) -> DataFrame:
-    docs = corpus_docs(spark, d)
-    hits = M.scan(docs, index(spark, d) if ix is None else ix)
-    return K.concept_publications(hits, docs.select(F.col("id").alias("doc"), F.trim("publication_number").alias("pub")))
+
+def pubs(spark: SparkSession, d: str) -> DataFrame:
+    """(concept, pub): known publications that name each concept."""
+    return K.concept_publications(M.scan(corpus_docs(spark, d), index(spark, d)), doc_pubs(spark, d).select("doc", "pub"))
 
 
 @query(f"WITH {INDEX}, {DOCS}, {HITS}, {PUBS} SELECT concept, count(*) AS n_pubs FROM pubs GROUP BY 1")
@@ -187,7 +236,7 @@ neg AS (SELECT concept, pub, neighbor, relation FROM (SELECT c.concept, p.pub, r
 @query(f"WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, {RELATIONS}, {NEG} SELECT concept, pub, neighbor, relation FROM neg")
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Publications that name a neighbor of a concept and not the concept."""
-    edges, p = concept_edges(spark, d), G.cut_lineage(pubs(spark, d))
+    edges, p = concept_edges(spark, d), pubs(spark, d)
     return K.hard_negatives(p, K.candidates(p, edges, 2), edges)
 
 
@@ -196,7 +245,7 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 )
 def kept_concepts(spark: SparkSession, d: str) -> DataFrame:
     """The 25 most frequent concepts with enough gold publications and hard negatives."""
-    return K.kept_concepts(G.cut_lineage(pubs(spark, d)), concept_edges(spark, d), 2, 3, 25)
+    return K.kept_concepts(pubs(spark, d), concept_edges(spark, d), 2, 3, 25)
 
 
 @query(
@@ -210,9 +259,8 @@ def name_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Title checks of concepts named in English abstracts against the parallel texts."""
-    docs = table(spark, d, "corpus", "id", "abstract", "publication_number", "language").where("id is not null and publication_number != 'EP-0000000-A0' and trim(publication_number) != ''")
-    docs = docs.withColumnRenamed("abstract", "text")
+    """Title checks of concepts named in English contexts against the parallel texts."""
+    docs = corpus_docs(spark, d).where(known("publication_number"))
     en = docs.where("language = 'en'")
     found = M.scan(en, index(spark, d)).join(en.select(F.col("id").alias("doc"), F.col("publication_number").alias("pub")), "doc").select("concept", "pub").distinct()
     rows = docs.where("language in ('de', 'fr', 'es', 'zh') and trim(text) != ''").select(F.col("publication_number").alias("pub"), F.col("language").alias("lang"), "text", "id")
@@ -222,8 +270,8 @@ def title_checks(spark: SparkSession, d: str) -> DataFrame:
     return K.title_checks(found, last, titles, names)
 
 
-CHECKS = f"""{INDEX}, d0 AS (SELECT id, any_value(publication_number) AS pub, any_value(language) AS language, any_value(abstract) AS text FROM corpus WHERE publication_number != 'EP-0000000-A0' AND trim(publication_number) != '' GROUP BY 1),
-dt AS (SELECT id, pub, language, ' ' || array_to_string({tokens_sql('text')}, ' ') || ' ' AS spaced, array_to_string({tokens_sql('text')}, '') AS dense FROM d0 WHERE text IS NOT NULL AND language = 'en'), {HITS},
+CHECKS = f"""{INDEX}, d0 AS (SELECT id, any_value(publication_number) AS pub, any_value(language) AS language, any_value(context) AS text FROM corpus WHERE {KNOWN} GROUP BY 1),
+dt AS (SELECT id, pub, language, ' ' || array_to_string(tk, ' ') || ' ' AS spaced, array_to_string(tk, '') AS dense FROM (SELECT *, {tokens_sql('text')} AS tk FROM d0, compat WHERE text IS NOT NULL AND language = 'en')), {HITS},
 par AS (SELECT pub, language AS lang, arg_max(text, id) AS text FROM d0 WHERE language IN ('de', 'fr', 'es', 'zh') AND trim(text) != '' GROUP BY 1, 2),
 tit AS (SELECT concept, lang, min(surface) AS title FROM nm GROUP BY 1, 2),
 chk AS (SELECT h.concept, h.pub, p.lang, t.title, contains(lower(p.text), lower(t.title)) AS title_present, p.text FROM (SELECT DISTINCT concept, pub FROM hit) h JOIN par p USING (pub) JOIN tit t ON t.concept = h.concept AND t.lang = p.lang),
@@ -251,20 +299,48 @@ def name_mismatches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, ps AS (SELECT pub, lower(text) AS t FROM docs WHERE text IS NOT NULL AND pub != '' AND pub != 'EP-0000000-A0') SELECT DISTINCT p.pub, p.concept FROM pubs p JOIN nm USING (concept) JOIN ps ON ps.pub = p.pub WHERE contains(ps.t, lower(nm.surface))"""
+    f"""WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, ps AS (SELECT pub, lower(text) AS t FROM docs WHERE text IS NOT NULL AND pub NOT IN ('', {LOST})) SELECT DISTINCT p.pub, p.concept FROM pubs p JOIN nm USING (concept) JOIN ps ON ps.pub = p.pub WHERE contains(ps.t, lower(nm.surface))"""
 )
 def groundable_concepts(spark: SparkSession, d: str) -> DataFrame:
     """Concepts of a publication with a name in its passages."""
-    passages = corpus_docs(spark, d).select(F.trim("publication_number").alias("pub"), "text").where("pub != '' and pub != 'EP-0000000-A0' and text is not null")
+    passages = corpus_docs(spark, d).select(F.trim("publication_number").alias("pub"), "text").where(known("pub") & F.col("text").isNotNull())
     return K.groundable(pubs(spark, d), concept_names(spark, d), passages)
 
 
 @query(
-    f"""WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, ps AS (SELECT pub, string_agg(lower(text), chr(10) ORDER BY lower(text)) AS t FROM docs WHERE text IS NOT NULL AND pub != '' AND pub != 'EP-0000000-A0' GROUP BY 1)
+    f"""WITH {INDEX}, {DOCS}, {HITS}, {PUBS}, ps AS (SELECT pub, string_agg(lower(text), chr(10) ORDER BY lower(text)) AS t FROM docs WHERE text IS NOT NULL AND pub NOT IN ('', {LOST}) GROUP BY 1)
     SELECT pub, concept, surface AS answer, held AS grounded FROM (SELECT *, row_number() OVER (PARTITION BY pub, concept ORDER BY CASE WHEN held AND lang = 'de' THEN 0 WHEN held THEN 1 WHEN lang = 'de' THEN 2 ELSE 3 END, surface, lang) AS r
     FROM (SELECT p.pub, p.concept, nm.lang, nm.surface, contains(ps.t, lower(nm.surface)) AS held FROM pubs p JOIN nm USING (concept) JOIN ps ON ps.pub = p.pub)) WHERE r = 1"""
 )
 def picked_answers(spark: SparkSession, d: str) -> DataFrame:
     """The name that answers a question in German about a concept of a publication."""
-    passages = corpus_docs(spark, d).select(F.trim("publication_number").alias("pub"), "text").where("pub != '' and pub != 'EP-0000000-A0' and text is not null")
+    passages = corpus_docs(spark, d).select(F.trim("publication_number").alias("pub"), "text").where(known("pub") & F.col("text").isNotNull())
     return K.pick_answer(pubs(spark, d), concept_names(spark, d), passages, "de")
+
+
+ALIAS = f"""stop AS (SELECT norm FROM hit GROUP BY 1 HAVING count(DISTINCT doc) > 0.02 * (SELECT count(*) FROM docs)), left_hit AS (SELECT * FROM hit WHERE norm NOT IN (SELECT norm FROM stop)), pubs AS (SELECT DISTINCT concept, pub FROM left_hit WHERE pub NOT IN ('', {LOST})), {RELATIONS}, {NEG},
+kc AS (SELECT concept, n_gold, n AS n_hard_neg FROM cand JOIN (SELECT concept, count(*) AS n FROM neg GROUP BY 1 HAVING count(*) >= 3) USING (concept))"""
+
+
+def alias_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = corpus_docs(spark, d)
+    n = docs.select("id").distinct().count()
+    return K.alias_graph(M.scan(docs, index(spark, d)), doc_pubs(spark, d), concept_names(spark, d), concept_edges(spark, d), n, 0.02, 2, 3)
+
+
+@query(
+    f"""WITH {INDEX}, {DOCS}, {HITS}, {ALIAS} SELECT k.concept, coalesce((SELECT min(surface) FROM nm WHERE nm.concept = k.concept AND prim), k.concept) AS name, n_gold, n_hard_neg,
+    coalesce((SELECT string_agg(DISTINCT language, '|' ORDER BY language) FROM left_hit h JOIN docs ON docs.id = h.doc WHERE h.concept = k.concept AND h.pub NOT IN ('', {LOST})), '') AS gold_langs,
+    (SELECT count(*) FROM rel WHERE rel.node = k.concept AND rel.neighbor IN (SELECT concept FROM pubs)) AS n_neighbors FROM kc k"""
+)
+def alias_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Manifest of the concept benchmark: stop names pruned, concepts kept by gold publications and hard negatives."""
+    return alias_tables(spark, d)[0].withColumn("gold_langs", F.array_join("gold_langs", "|"))
+
+
+@query(f"WITH {INDEX}, {DOCS}, {HITS}, {ALIAS} SELECT 'gold' AS kind, p.concept, p.pub, NULL AS neighbor, NULL AS relation FROM pubs p JOIN kc USING (concept) UNION ALL SELECT 'negative', n.concept, n.pub, n.neighbor, n.relation FROM neg n JOIN kc USING (concept)")
+def alias_graph_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Gold publications and hard negatives of the concept benchmark."""
+    _, gold, negatives = alias_tables(spark, d)
+    none = F.lit(None).cast("string")
+    return gold.select(F.lit("gold").alias("kind"), "concept", "pub", none.alias("neighbor"), none.alias("relation")).unionByName(negatives.withColumn("kind", F.lit("negative")))

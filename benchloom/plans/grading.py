@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grading as G
+from ..operators.corpus import known
+from .corpus import KNOWN
 from .registry import query, table
 
 LANGS = ("en", "de", "fr", "es", "zh")
@@ -39,12 +41,12 @@ def question_quotas(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {QUOTAS}, dq AS (SELECT strategy, CASE strategy WHEN 4 THEN questions // 4 ELSE questions END AS n FROM qt), q AS (SELECT strategy, sum(n) OVER (ORDER BY strategy) - n AS lo, sum(n) OVER (ORDER BY strategy) AS hi FROM dq), p AS (SELECT publication_number, row_number() OVER (ORDER BY md5('3|' || publication_number), publication_number) - 1 AS r FROM (SELECT DISTINCT publication_number FROM corpus WHERE trim(publication_number) != '') ORDER BY r LIMIT 100)
+    f"""WITH {QUOTAS}, dq AS (SELECT strategy, CASE strategy WHEN 4 THEN questions // 4 ELSE questions END AS n FROM qt), q AS (SELECT strategy, sum(n) OVER (ORDER BY strategy) - n AS lo, sum(n) OVER (ORDER BY strategy) AS hi FROM dq), p AS (SELECT publication_number, row_number() OVER (ORDER BY md5('3|' || publication_number), publication_number) - 1 AS r FROM (SELECT DISTINCT publication_number FROM corpus WHERE {KNOWN}) ORDER BY r LIMIT 100)
     SELECT publication_number, CASE WHEN r < 50 THEN 'technical' ELSE 'semantic_retrieval' END AS mode, CAST(strategy AS INT) AS strategy FROM p JOIN q ON r % 50 >= lo AND r % 50 < hi"""
 )
 def generation_plan(spark: SparkSession, d: str) -> DataFrame:
     """A pool of a hundred publications dealt to modes and strategies (a sampling operator)."""
-    return G.generation_plan(table(spark, d, "corpus", "publication_number").where("trim(publication_number) != ''"), 100, 52, 3)
+    return G.generation_plan(table(spark, d, "corpus", "publication_number").where(known("publication_number")), 100, 52, 3, strict=False)
 
 
 def _have(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +67,22 @@ def language_strategies(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query()
+def _balanced_sql() -> str:
+    """One step per language, in the order of scarcity; each leaves out what earlier steps took."""
+    steps = []
+    for k in range(1, len(LANGS) + 1):
+        taken = " UNION ALL ".join(f"SELECT publication_number FROM p{j}" for j in range(1, k)) or "SELECT NULL WHERE false"
+        steps.append(f"p{k} AS (SELECT publication_number, language FROM hv WHERE language = (SELECT language FROM lo WHERE k = {k}) AND publication_number NOT IN ({taken}) ORDER BY md5('11|' || publication_number), publication_number LIMIT 20)")
+    return ", ".join(steps)
+
+
+@query(
+    f"""WITH hv AS (SELECT DISTINCT publication_number, language FROM corpus WHERE {KNOWN} AND language IN ('en', 'de', 'fr', 'es', 'zh')),
+    lo AS (SELECT language, row_number() OVER (ORDER BY n, place) AS k FROM (SELECT l.language, l.place, (SELECT count(*) FROM hv WHERE hv.language = l.language) AS n FROM (VALUES ('en', 0), ('de', 1), ('fr', 2), ('es', 3), ('zh', 4)) l(language, place))), {_balanced_sql()}
+    {' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(1, 6))}"""
+)
 def balanced_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty publications per language, the scarcest first (a sampling operator; sequential, so checked by tests)."""
+    """Twenty publications per language, the scarcest first (a sampling operator)."""
     return G.balanced_documents(_have(spark, d), LANGS, 20, 11)
 
 
