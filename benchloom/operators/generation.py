@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import grading as G
 
-#: Characters of context that a request carries.
-CONTEXT_CHARS = 4_000
 MAX_ATTEMPTS = 3
 
 Asker = Callable[[DataFrame, list[str]], DataFrame]
@@ -43,9 +41,12 @@ def parsed_pairs(responses: DataFrame, keys: list[str], n: int = G.CANDIDATES) -
     return each.select(*keys, "idx", "pair.question", "pair.answer").where("trim(question) != '' and trim(answer) != ''")
 
 
-def graded_pairs(documents: DataFrame, keys: list[str], mode: str, generate: Asker, faithfulness: Asker, quality: Asker) -> DataFrame:
-    """(keys..., idx, question, answer, grades..., total_score): candidates of each document with both grades."""
-    request = documents.withColumn("prompt", F.substring("text", 1, CONTEXT_CHARS))
+def graded_pairs(documents: DataFrame, keys: list[str], mode: str, generate: Asker, faithfulness: Asker, quality: Asker, context_chars: int | None = None) -> DataFrame:
+    """(keys..., idx, question, answer, grades..., total_score): candidates of each document with both grades.
+
+    A request carries the whole text; ``context_chars`` bounds it for models that take no more.
+    """
+    request = documents.withColumn("prompt", F.col("text") if context_chars is None else F.substring("text", 1, context_chars))
     pairs = parsed_pairs(generate(request, keys), keys)
     graded = pairs.groupBy(*keys).agg(F.to_json(F.collect_list(F.struct("idx", "question", "answer"))).alias("prompt"))
     faith = G.normalized_grades(faithfulness(graded, keys), keys, G.FAITHFULNESS).withColumn("faith_overall", G.faithfulness_total())

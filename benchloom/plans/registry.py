@@ -33,4 +33,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
-from . import analysis, concepts, corpus, grading, metrics, packaging, scalar, sources, streams, variants  # noqa: E402, F401
+from . import analysis, concepts, corpus, generation, grading, metrics, packaging, scalar, sources, streams, variants  # noqa: E402, F401

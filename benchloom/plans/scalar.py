@@ -40,20 +40,14 @@ def first_claims(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", T.first_claim_of_text(F.concat(F.lit("1. "), "first_claim", F.lit(" 2. "), "first_claim")).alias("claim"))
 
 
-@query(
-    r"""WITH x AS (SELECT id, '<claims><claim num="1"><p>1. ' || first_claim || '</p><chemistry>C2</chemistry></claim><claim>2. more</claim></claims>' AS h FROM corpus WHERE first_claim IS NOT NULL AND NOT regexp_matches(first_claim, '[<&]'))
-    SELECT id, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<claim\b[^>]*>(.*?)</claim>', 1), '(?is)<chemistry\b.*?</chemistry>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '^\s*1\s*[.):\-]*\s*', '')) AS claim FROM x"""
-)
-def html_claims(spark: SparkSession, d: str) -> DataFrame:
-    """First claim out of mark-up (built here from the stored claim)."""
-    c = table(spark, d, "corpus", "id", "first_claim").where("first_claim is not null and not first_claim rlike '[<&]'")
-    h = F.concat(F.lit('<claims><claim num="1"><p>1. '), "first_claim", F.lit("</p><chemistry>C2</chemistry></claim><claim>2. more</claim></claims>"))
-    return c.select("id", T.first_claim_of_html(h).alias("claim"))
+def first_claim_sql(c: str) -> str:
+    """SQL of the first claim of a claim list in plain text."""
+    return rf"trim(regexp_replace(regexp_split_to_array({COLLAPSE.format(c)}, ' 2\s*[.)] ')[1], '^\s*1\s*[.):\-]*\s*', ''))"
 
 
-@query()
-def html_claims_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every row, with the claim escaped in the mark-up; '' for null; tested on a fixture."""
+@query(rf"SELECT id, trim(regexp_replace({COLLAPSE.format("'1. ' || coalesce(first_claim, '')")}, '^\s*1\s*[.):\-]*\s*', '')) AS claim FROM corpus")
+def html_claims(spark: SparkSession, d: str) -> DataFrame:
+    """First claim out of mark-up, built here from the stored claim of every row, escaped; '' for null."""
     c = table(spark, d, "corpus", "id", "first_claim")
     h = F.concat(F.lit('<claims><claim num="1"><p>1. '), T.escape_markup(F.col("first_claim")), F.lit("</p><chemistry>C2</chemistry></claim><claim>2. more</claim></claims>"))
     return c.select("id", T.clean_text(T.first_claim_of_html(h)).alias("claim"))
@@ -123,16 +117,9 @@ def name_forms(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chebi_id", "lang", "title", F.coalesce(T.is_code_like(t), F.lit(False)).alias("code_like"), T.clean_name(t).alias("clean"), T.distinctive(t).alias("distinctive"), F.expr("substring(chebi_id, instr(chebi_id, ':') + 1)").alias("numeric_id"))
 
 
-@query(r"SELECT id, trim(regexp_replace(regexp_replace('[0001] ' || description, '\[\d{3,5}\]', ' ', 'g'), '\s+', ' ', 'g')) AS snippet FROM corpus WHERE length(description) < 1200")
+@query(rf"WITH x AS (SELECT id, {COLLAPSE.format(r"regexp_replace('[0001] ' || description, '\[\d{3,5}\]', ' ', 'g')")} AS t FROM corpus) SELECT id, {_truncated('t', T.MAX_DESCRIPTION_CHARS)} AS snippet FROM x")
 def description_snippets(spark: SparkSession, d: str) -> DataFrame:
-    """Descriptions without paragraph marks (one is put before each here)."""
-    c = table(spark, d, "corpus", "id", "description").where(F.length("description") < 1200)
-    return c.select("id", T.description_snippet(F.concat(F.lit("[0001] "), "description")).alias("snippet"))
-
-
-@query()
-def description_snippets_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every description, cut at the limit; tested on a fixture."""
+    """Descriptions without paragraph marks (one is put before each here), cut at the limit."""
     c = table(spark, d, "corpus", "id", "description")
     return c.select("id", T.description_snippet(F.concat(F.lit("[0001] "), "description")).alias("snippet"))
 

@@ -8,57 +8,38 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import files as S
 from .registry import query, table
+from .scalar import COLLAPSE, _truncated, first_claim_sql
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "corpus", "id", "language", "title", "abstract", "first_claim", "ipc_codes", "publication_date")
-    return c.where("language in ('en', 'de', 'fr') and trim(title) != '' and trim(abstract) != '' and trim(first_claim) != ''")
+_PLAIN = lambda c: f"nullif({COLLAPSE.format(c)}, '')"
 
 
 @query(
-    rf"""SELECT DISTINCT id, true AS valid, language, trim(regexp_replace(title, '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')) AS title, trim(regexp_replace(abstract, '[\s\x0b\x{{85}}\p{{Z}}]+', ' ', 'g')) AS abstract FROM corpus WHERE language IN ('en', 'de', 'fr') AND trim(title) != '' AND trim(abstract) != '' AND trim(first_claim) != '' AND NOT regexp_matches(title || abstract || first_claim, '[<&>]')"""
+    rf"""SELECT DISTINCT id, {_PLAIN('title')} IS NOT NULL AND id != '' AS valid, language, {_PLAIN('title')} AS title, {_PLAIN('abstract')} AS abstract, nullif(trim(regexp_replace({COLLAPSE.format("'1. ' || coalesce(first_claim, '')")}, '^\s*1\s*[.):\-]*\s*', '')), '') AS claim,
+    'Inv One|Inv Two' AS inventors, 'Co ' || id AS applicants, 'DE|FR' AS states, 'P' || id AS priority_numbers, '20190101' AS priority_dates FROM corpus WHERE id IS NOT NULL"""
 )
 def markup_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Rows written as patent mark-up and parsed again."""
-    c = _rows(spark, d).where("not concat(title, abstract, first_claim) rlike '[<&>]'").select("id", "language", "title", "abstract", "first_claim").distinct()
-    xml = F.concat(
-        F.lit('<ep-patent-document id="'), "id", F.lit('" doc-number="1" country="EP" kind="A1" date-publ="20200101" lang="en"><SDOBI><B500><B540><B541>'), "language", F.lit("</B541><B542>"), "title", F.lit('</B542></B540></B500></SDOBI><abstract lang="'), "language", F.lit('"><p>'), "abstract",
-        F.lit('</p></abstract><claims lang="'), "language", F.lit('"><claim><claim-text>1. '), "first_claim", F.lit("</claim-text></claim></claims></ep-patent-document>"),
-    )
-    p = S.parse_patents(c.select("id", "language", xml.alias("xml")))
-    return p.select("id", "valid", "language", F.element_at("title_localized", 1)["text"].alias("title"), F.element_at("abstract_localized", 1)["text"].alias("abstract"))
-
-
-@query()
-def markup_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every row, escaped, whatever its label and blank fields; without a title it isn't valid."""
-    c = table(spark, d, "corpus", "id", "language", "title", "abstract", "first_claim").distinct()
+    """Every row written as patent mark-up, escaped, whatever its label and blank fields, and parsed again; without a title it isn't valid."""
+    c = table(spark, d, "corpus", "id", "language", "title", "abstract", "first_claim").where("id is not null").distinct()
     e = {k: T.escape_markup(F.col(k)) for k in c.columns}
+    party = lambda name: f"<B721><snm>{name}</snm></B721>"
     xml = F.concat(
-        F.lit('<ep-patent-document id="'), e["id"], F.lit('" doc-number="1" country="EP" kind="A1" date-publ="20200101" lang="en"><SDOBI><B500><B540><B541>'), e["language"], F.lit("</B541><B542>"), e["title"], F.lit('</B542></B540></B500></SDOBI><abstract lang="'), e["language"], F.lit('"><p>'), e["abstract"],
+        F.lit('<ep-patent-document id="'), e["id"], F.lit('" doc-number="1" country="EP" kind="A1" date-publ="20200101" lang="en"><SDOBI><B300><B310>P'), e["id"], F.lit("</B310><B320><date>20190101</date></B320></B300><B500><B540><B541>"), e["language"], F.lit("</B541><B542>"), e["title"],
+        F.lit(f"</B542></B540></B500><B700><B710><B711><snm>Co "), e["id"], F.lit(f"</snm></B711></B710><B720>{party('Inv One')}{party(' Inv  Two')}{party('Inv One')}</B720></B700><B800><B840><ctry>de</ctry><ctry>FR</ctry><ctry>DE</ctry></B840></B800></SDOBI><abstract lang=\""), e["language"], F.lit('"><p>'), e["abstract"],
         F.lit('</p></abstract><claims lang="'), e["language"], F.lit('"><claim><claim-text>1. '), e["first_claim"], F.lit("</claim-text></claim></claims></ep-patent-document>"),
     )
     p = S.parse_patents(c.select("id", "language", xml.alias("xml")))
     first = lambda block: F.try_element_at(block, F.lit(1))["text"]
-    return p.select("id", "valid", "language", first(F.col("title_localized")).alias("title"), first(F.col("abstract_localized")).alias("abstract"), first(F.col("claims_localized")).alias("claim"))
+    lists = {k: F.array_join(k, "|").alias(k) for k in ("inventors", "applicants", "states", "priority_numbers", "priority_dates")}
+    return p.select("id", "valid", "language", first(F.col("title_localized")).alias("title"), first(F.col("abstract_localized")).alias("abstract"), first(F.col("claims_localized")).alias("claim"), *lists.values())
 
 
 @query(
-    """SELECT DISTINCT id || '_en' AS id, title, abstract FROM corpus WHERE language = 'en' AND trim(title) != '' AND trim(abstract) != '' AND trim(first_claim) != ''
-    AND title = trim(title) AND abstract = trim(abstract)"""
+    f"""WITH x AS (SELECT DISTINCT id, coalesce(trim(title), '') AS title, coalesce(trim(abstract), '') AS abstract, CASE WHEN trim(first_claim) != '' THEN {first_claim_sql('trim(first_claim)')} ELSE '' END AS c FROM corpus WHERE id IS NOT NULL)
+    SELECT id || '_en' AS id, title, abstract, {_truncated('c', T.MAX_CLAIM_CHARS)} AS first_claim FROM x WHERE title != '' OR abstract != ''"""
 )
 def record_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Rows as raw records with localized blocks, projected to a language again."""
-    c = _rows(spark, d).where("language = 'en' and title = trim(title) and abstract = trim(abstract)").select("id", "title", "abstract", "first_claim").distinct()
-    block = lambda x: F.array(F.struct(F.lit("xx").alias("language"), F.lit("no").alias("text")), F.struct(F.lit("EN").alias("language"), F.col(x).alias("text")))
-    text = F.to_json(F.struct(F.col("id").alias("publication_number"), block("title").alias("title_localized"), block("abstract").alias("abstract_localized"), block("first_claim").alias("claims_localized")))
-    r = c.select(F.from_json(text, S.RECORD_SCHEMA).alias("r")).select("r.*")
-    return S.records_to_rows(r, ["en"]).select("id", "title", "abstract")
-
-
-@query()
-def record_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every row and label, in blocks named EN; rows with neither title nor abstract give none."""
-    c = table(spark, d, "corpus", "id", "title", "abstract", "first_claim").distinct()
+    """Every row as a raw record with localized blocks named EN, projected to the language again; rows with neither title nor abstract give none."""
+    c = table(spark, d, "corpus", "id", "title", "abstract", "first_claim").where("id is not null").distinct()
     block = lambda x: F.array(F.struct(F.lit("xx").alias("language"), F.lit("no").alias("text")), F.struct(F.lit("EN").alias("language"), F.col(x).alias("text")))
     text = F.to_json(F.struct(F.col("id").alias("publication_number"), block("title").alias("title_localized"), block("abstract").alias("abstract_localized"), block("first_claim").alias("claims_localized")))
     r = c.select(F.from_json(text, S.RECORD_SCHEMA).alias("r")).select("r.*")

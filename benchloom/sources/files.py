@@ -53,7 +53,9 @@ def records_to_rows(records: DataFrame, languages: list[str]) -> DataFrame:
 
 PATENT_SCHEMA = (
     "_id string, `_doc-number` string, _country string, `_date-publ` string, _kind string, _lang string, "
-    "SDOBI struct<B500:struct<B540:struct<B541:array<string>,B542:array<string>>>>, abstract array<struct<_lang:string,p:array<string>>>, description array<struct<_lang:string,p:array<string>>>, "
+    "SDOBI struct<B300:array<struct<B310:array<string>,B320:array<struct<date:string>>>>,B500:struct<B540:struct<B541:array<string>,B542:array<string>>>,"
+    "B700:struct<B710:struct<B711:array<struct<snm:string>>>,B720:struct<B721:array<struct<snm:string>>>,B730:struct<B731:array<struct<snm:string>>>>,B800:struct<B840:struct<ctry:array<string>>>>, "
+    "abstract array<struct<_lang:string,p:array<string>>>, description array<struct<_lang:string,p:array<string>>>, "
     "claims array<struct<_lang:string,claim:array<struct<`claim-text`:array<string>>>>>, `classification-ipcr` array<struct<text:string>>, `classification-cpc` array<struct<text:string>>"
 )
 
@@ -73,6 +75,9 @@ def parse_patents(xml: DataFrame, column: str = "xml") -> DataFrame:
     titles = F.transform(F.arrays_zip(F.coalesce("p.SDOBI.B500.B540.B541", F.array().cast("array<string>")).alias("l"), F.coalesce("p.SDOBI.B500.B540.B542", F.array().cast("array<string>")).alias("t")), lambda z: F.struct(F.lower(z["l"]).alias("language"), T.collapse(z["t"]).alias("text")))
     claims = F.transform(F.coalesce("p.claims", F.array()), lambda c: F.struct(F.lower(c["_lang"]).alias("language"), T.strip_claim_number(T.collapse(F.array_join(F.coalesce(F.try_element_at(c["claim"], F.lit(1))["claim-text"], F.array()), " "))).alias("text")))
     codes = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(f"p.`{c}`"), F.array()), lambda x: T.normalize_code(x["text"])), lambda x: x != ""))
+    distinct = lambda values: F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), T.collapse), lambda x: x != ""))
+    names = lambda c: distinct(F.transform(F.col(f"p.SDOBI.B700.{c}"), lambda x: x["snm"]))
+    priorities = F.coalesce("p.SDOBI.B300", F.array())
     out = p.select(
         *[c for c in xml.columns if c != column],
         F.col("p._id").alias("xml_id"),
@@ -85,6 +90,12 @@ def parse_patents(xml: DataFrame, column: str = "xml") -> DataFrame:
         F.filter(claims, lambda b: b["text"] != "").alias("claims_localized"),
         codes("classification-ipcr").alias("ipc_codes"),
         codes("classification-cpc").alias("cpc_codes"),
+        names("B710.B711").alias("applicants"),
+        names("B720.B721").alias("inventors"),
+        names("B730.B731").alias("proprietors"),
+        F.array_distinct(F.transform(distinct(F.col("p.SDOBI.B800.B840.ctry")), F.upper)).alias("states"),
+        distinct(F.flatten(F.transform(priorities, lambda x: F.coalesce(x["B310"], F.array().cast("array<string>"))))).alias("priority_numbers"),
+        distinct(F.flatten(F.transform(priorities, lambda x: F.transform(F.coalesce(x["B320"], F.array().cast("array<struct<date:string>>")), lambda y: y["date"])))).alias("priority_dates"),
     )
     return out.withColumn("valid", F.coalesce((F.col("xml_id") != "") & (F.size("title_localized") > 0), F.lit(False)))
 
@@ -165,3 +176,48 @@ def write_configs(tables: dict[str, DataFrame], root: str, only: set[str] | None
     for name, df in tables.items():
         if only is None or name in only:
             write_table(df, f"{root}/{name}")
+
+
+def read_config(spark: SparkSession, root: str, name: str, variant: str = "") -> DataFrame:
+    """One config of a published dataset, with the identifier named ``id``.
+
+    Looked for under its name with the variant before it (``<variant>-<name>``), then under the plain name, as a
+    folder or in the folder ``data`` of the root; raises ``FileNotFoundError`` where none of them is.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    tried = []
+    for n in dict.fromkeys([f"{variant}-{name}" if variant else name, name]):
+        for path in (f"{root}/{n}", f"{root}/data/{n}", f"{root}/{n}.parquet"):
+            tried.append(path)
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(conf).exists(at):
+                df = spark.read.parquet(path)
+                return df.withColumnRenamed("_id", "id") if "_id" in df.columns and "id" not in df.columns else df
+    raise FileNotFoundError(", ".join(tried))
+
+
+def discover_models(spark: SparkSession, root: str, wanted: list[str] | None = None) -> DataFrame:
+    """(model, path): folders of predictions, one per model, that hold a predictions file; ``wanted`` keeps the named ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*predictions*.json").load(root).select("path")
+    out = files.select(F.element_at(F.split("path", "/"), -2).alias("model"), "path")
+    return out.where(F.col("model").isin(wanted)) if wanted else out
+
+
+def write_alias_graph(manifest: DataFrame, gold: DataFrame, negatives: DataFrame, path: str) -> None:
+    """The concept benchmark as JSON lines in three folders, and its manifest also as delimited text with languages joined by bars."""
+    for name, df in (("concepts", manifest), ("gold", gold), ("negatives", negatives)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    write_csv(manifest.withColumn("gold_langs", F.array_join("gold_langs", "|")), f"{path}/manifest")
+
+
+def read_alias_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifest, gold and negatives of a written benchmark, or of one JSON document with the list ``concepts``."""
+    concept = "concept string, name string, n_gold bigint, n_hard_neg bigint, gold_langs array<string>, n_neighbors bigint"
+    negative = "concept string, pub string, neighbor string, relation string"
+    if not path.endswith(".json"):
+        return spark.read.json(f"{path}/concepts", schema=concept), spark.read.json(f"{path}/gold", schema="concept string, pub string"), spark.read.json(f"{path}/negatives", schema=negative)
+    entry = "chebi_id string, name string, n_gold bigint, n_hard_neg bigint, gold_langs array<string>, n_neighbors_in_corpus bigint, gold array<string>, hard_negatives array<struct<publication_number:string,neighbor_chebi_id:string,relation:string>>"
+    c = spark.read.json(path, schema=f"concepts array<struct<{', '.join(f.replace(' ', ':', 1) for f in entry.split(', '))}>>", multiLine=True).select(F.inline("concepts"))
+    manifest = c.select(F.col("chebi_id").alias("concept"), "name", "n_gold", "n_hard_neg", "gold_langs", F.col("n_neighbors_in_corpus").alias("n_neighbors"))
+    gold = c.select(F.col("chebi_id").alias("concept"), F.explode("gold").alias("pub"))
+    return manifest, gold, c.select(F.col("chebi_id").alias("concept"), F.explode("hard_negatives").alias("n")).select("concept", F.col("n.publication_number").alias("pub"), F.col("n.neighbor_chebi_id").alias("neighbor"), "n.relation")

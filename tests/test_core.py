@@ -4,7 +4,6 @@ import gzip
 import io
 import json
 import math
-import random
 import tarfile
 import zipfile
 
@@ -50,14 +49,17 @@ def test_replacement_is_literal(spark):
     assert got == [r"Z$1\n and zincate, Z$1\n.", "ZnO膜", "c axb", "no", None]
 
 
-def test_perturbations():
-    dice = random.Random(1)
-    assert perturb.swap_greek("β-carotene", dice) == "beta-carotene" and perturb.swap_greek("alpha acid", dice) == "α acid" and perturb.swap_greek("x", dice) is None
-    assert perturb.swap_oxidation("iron(II) oxide", dice) == "iron(2+) oxide" and perturb.swap_oxidation("iron(2+)", dice) == "iron(II)"
-    for term in ("ethanol", "iron(III) oxide", "ab"):
-        out = perturb.perturb(term, "s")
-        assert out and out != term and out == perturb.perturb(term, "s")
-    assert perturb.perturb(None, "s") is None and perturb.perturb("", "s") is None and perturb.perturb("12", "s") is None
+def test_perturbations(spark):
+    one = lambda term, pattern, table: column(spark, [term], lambda c: perturb.exchanged(c, pattern, table))[0]
+    assert [one(t, perturb.GREEK_PATTERN, perturb.SPELLINGS) for t in ("β-carotene", "Alpha acid", "x")] == ["beta-carotene", "α acid", None]
+    assert [one(t, perturb.CHARGE_PATTERN, perturb.CHARGES) for t in ("iron(II) oxide", "iron(2+)", "x")] == ["iron(2+) oxide", "iron(II)", None]
+    terms = ["ethanol", "iron(III) oxide", "ab", None, "", "12"]
+    df = spark.createDataFrame([(i, t, f"s{k}") for i, t in enumerate(terms) for k in range(40)], "i int, v string, seed string")
+    got = {}
+    for r in df.select("i", "v", perturb.perturbed(F.col("v"), F.col("seed")).alias("o")).collect():
+        got.setdefault(r.i, set()).add(r.o)
+    assert all(None not in got[i] and terms[i] not in got[i] for i in range(3)) and len(got[0]) > 15 and all(got[i] == {None} for i in (3, 4, 5))
+    assert any(sorted(x) == sorted("ethanol") for x in got[0]) and any(x.replace("-", "") == "ethanol" for x in got[0]) and any(x.lower() == "ethanol" for x in got[0])
 
 
 # ---------------------------------------------------------------- corpus
@@ -112,6 +114,39 @@ def test_neighbor_relations(spark):
     assert graph.neighbor_relations(edges(spark, [])).collect() == []
 
 
+def test_terms_at_borders_like_the_pattern(spark):
+    """The scan of runs equals the pattern on every pair of a text and a term."""
+    texts = ["Zinc-oxide, (x) and ZINC oxide.", "zincate C(2)! xC(2) +a b+a", "氧化锌膜 zinc", "", None, "a  zinc\u00a0oxide", "C(2)", "C(2)x (C(2))", "zinc oxide" * 3, "+a", "zinc " * 50 + "oxide"]
+    terms = ["zinc", "Zinc oxide", "(x)", "C(2)", "+a", "锌", "氧化锌", "oxide", "a", "--", "", "zinc-oxide"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    t = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(terms)], "concept string, term string")
+    got = {(r.id, r.term) for r in matching.term_hits(docs, t, ("id",)).collect()}
+    every = docs.crossJoin(t).where(variants.holds(F.col("text"), F.col("term")))
+    assert got == {(r.id, r.term) for r in every.collect() if r.term != "--"} and (0, "(x)") in got and (10, "Zinc oxide") in got
+
+
+def test_scan_in_compatibility_form_and_beyond_the_broadcast_bound(spark, monkeypatch):
+    n = spark.createDataFrame([("c", "en", "zinc oxide", True), ("z", "zh", "氧化锌", False), ("e", "fr", "éthanol", False)], "concept string, lang string, surface string, primary boolean")
+    docs = spark.createDataFrame([("1", "ＺＩＮＣ　oxide"), ("2", "含氧化锌的膜"), ("3", "l e\u0301thanol, zinc"), ("4", None), ("5", "zinc oxide zinc oxide")], "id string, text string")
+    want = {("1", "c"), ("2", "z"), ("3", "e"), ("5", "c")}
+    ix = matching.name_index(n)
+    assert {(r.doc, r.concept) for r in matching.scan(docs, ix).collect()} == want
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 0)
+    assert {(r.doc, r.concept) for r in matching.scan(docs, ix).collect()} == want
+    assert matching.scan(docs.limit(0), ix).collect() == [] and matching.scan(docs, ix.limit(0)).collect() == []
+
+
+def test_a_swap_is_clean_without_the_whole_word(spark):
+    df = spark.createDataFrame([("Aceton", "acetone"), ("sulfate", "Sulfate ion"), ("zinc", "Zinc"), ("zinc", " "), (None, "x"), ("锌", "氧化锌")], "a string, b string")
+    assert [r.c for r in df.select(T.clean_swap(F.col("a"), F.col("b")).alias("c")).collect()] == [True, False, False, False, False, False]
+
+
+def test_lost_publications_share_nothing(spark):
+    lost = corpus.LOST_PUBLICATIONS[0]
+    df = spark.createDataFrame([("1", "en", "t", "a", None, None, lost, "1", "A61K1"), ("2", "de", "t", "a", None, None, lost, "1", "C07D1")], ROW)
+    assert corpus.multilingual(df, 2).count() == 0 and corpus.richest(df, ["id"]).count() == 0 and corpus.merged_codes(df).count() == 0
+
+
 def test_name_index_rules(spark):
     n = [("c1", "en", "Zinc Oxide", True), ("c2", "en", "Other", True), ("c2", "de", "zinc oxide", False), ("c3", "en", "salt", True), ("c4", "en", "1234", True), ("c5", "en", "abc", True), ("c6", "zh", "锌", False), ("c6", "zh", "氧化锌", False)]
     n += [(f"m{i}", "en", "shared name", False) for i in range(4)] + [(f"n{i}", "en", "nine owners", False) for i in range(9)] + [("u", "en", "family", False), ("v", "en", "family", False)]
@@ -226,11 +261,12 @@ def test_ladder_properties(spark):
     rows = spark.createDataFrame([("b1", "P", "en", "Zinc, iron and tin", "Iron."), ("b2", "P", "de", "x", "y")], "id string, pub string, language string, title string, abstract string")
     swaps = [(c, "P", "en", c, "b1", "B", "de", f"{c[::-1]}$1") for c in ("zinc", "iron", "tin")] + [("in", "P", "en", "in", "b1", "B", "de", "ni")]
     s = spark.createDataFrame(swaps, "concept string, pub string, anchor_language string, term string, id string, mode string, target string, replacement string")
-    got = variants.ladder(rows, s.where("concept != 'in'"), 3, 1).orderBy("depth").collect()
+    labels = spark.createDataFrame([("zinc", "Zinc")], "concept string, name string")
+    got = variants.ladder(rows, s.where("concept != 'in'"), labels, 3, 1).orderBy("depth").collect()
     assert [r.depth for r in got] == [0, 1, 2, 3] and got[0].title == "Zinc, iron and tin" and got[3].title == "cniz$1, nori$1 and nit$1" and got[3].abstract == "nori$1."
     assert [len(json.loads(r.replacements_json)) for r in got] == [0, 1, 2, 3]
-    assert variants.ladder(rows, s.where("concept in ('tin', 'in')"), 2, 1).collect() == []  # surfaces overlap
-    assert variants.ladder(rows, s.limit(0), 2, 1).collect() == []
+    assert variants.ladder(rows, s.where("concept in ('tin', 'in')"), labels, 2, 1).collect() == []  # surfaces overlap
+    assert variants.ladder(rows, s.limit(0), labels, 2, 1).collect() == []
 
 
 # ---------------------------------------------------------------- sources
@@ -251,16 +287,19 @@ def test_archives(spark, tmp_path):
     (tmp_path / "one.tar").write_bytes(outer.getvalue())
     (tmp_path / "two.tgz").write_bytes(gzip.compress(outer.getvalue()))
     (tmp_path / "three.zip").write_bytes(b"broken")
-    got = sorted((r.archive.rsplit("/", 1)[1], r.name, bytes(r.content)) for r in archives.read_archives(spark, str(tmp_path)).collect())
+    read = archives.read_archives(spark, str(tmp_path)).collect()
+    got = sorted((r.archive.rsplit("/", 1)[1], r.name, bytes(r.content)) for r in read if r.status == "ok")
     assert got == [(a, n, c) for a in ("one.tar", "two.tgz") for n, c in (("a.xml", b"<a/>"), ("b.xml", b"<b/>"))]
-    assert [n for n, _ in archives.unpack("one.tar", outer.getvalue(), most=4)] == []
+    small = list(archives.unpack("one.tar", io.BytesIO(outer.getvalue()), len(outer.getvalue()), most=4))
+    assert small and {x[1:] for x in small} == {(None, "oversized")}  # the outer file has no bound
+    assert list(archives.unpack("x.zip", io.BytesIO(b"no"), 2)) == [("x.zip", None, "broken")]
 
 
 def test_snippets_of_all_descriptions(spark, tmp_path):
     long = "[0002] " + "word " * 400
     texts = ["short [0003] text", long, "x" * 1600, "y" * 1500, "", None]
     spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, description string").write.parquet(str(tmp_path / "corpus.parquet"))
-    got = {r.id: r.snippet for r in registry.QUERIES["description_snippets_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.snippet for r in registry.QUERIES["description_snippets"](spark, str(tmp_path)).collect()}
     assert got == {"0": "short text", "1": ("word " * 300)[:-1], "2": "x" * 1500, "3": "y" * 1500, "4": "", "5": None}
 
 
@@ -274,20 +313,20 @@ def test_round_trips_of_all_rows(spark, tmp_path):
     ]
     spark.createDataFrame(rows, "id string, language string, title string, abstract string, first_claim string").write.parquet(str(tmp_path / "corpus.parquet"))
     run = lambda name: {r[0]: tuple(r)[1:] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert run("markup_round_trip_all") == {
+    assert {k: v[:5] for k, v in run("markup_round_trip").items()} == {
         "a": (True, "en", "A < B & C", 'x "y" &am', "use of <br"),
         "b": (True, "zh", "锌", "催化剂", "一种&#x2"),
         "c": (True, None, "t", None, "c"),
         "d": (False, 'n"/a', None, "abstract", None),
         "e": (False, "Deutsch", None, None, None),
     }
-    assert run("record_round_trip_all") == {
+    assert run("record_round_trip") == {
         "a_en": ("A < B & C", 'x "y" &am', "use of <br"),
         "b_en": ("锌", "催化剂", "一种&#x2"),
         "c_en": ("t", "", "c"),
         "d_en": ("", "abstract", ""),
     }
-    assert run("html_claims_all") == {"a": ("use of <br",), "b": ("一种&#x2",), "c": ("c",), "d": ("",), "e": ("",)}
+    assert run("html_claims") == {"a": ("use of <br",), "b": ("一种&#x2",), "c": ("c",), "d": ("",), "e": ("",)}
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -336,6 +375,39 @@ def test_numeric_metrics(spark):
     assert files.numeric_metrics(df).first().metrics == {"ndcg": 0.5, "n": 3.0}
 
 
+def test_parties_and_priorities(spark):
+    xml = '<ep-patent-document id="x"><SDOBI><B300><B310>P 1</B310><B320><date>20190101</date></B320></B300><B300><B310>P 2</B310><B310>P 1</B310><B320><date>20190101</date></B320></B300><B700><B710><B711><snm> A </snm></B711><B711><snm>B</snm></B711><B711><snm>A</snm></B711></B710><B720><B721><snm>I</snm></B721></B720></B700><B800><B840><ctry>de</ctry><ctry>FR</ctry><ctry>DE</ctry></B840></B800></SDOBI></ep-patent-document>'
+    r = files.parse_patents(spark.createDataFrame([(xml,), ("<x/>",)], "xml string")).collect()
+    assert (r[0].applicants, r[0].inventors, r[0].proprietors, r[0].states, r[0].priority_numbers, r[0].priority_dates) == (["A", "B"], ["I"], [], ["DE", "FR"], ["P 1", "P 2"], ["20190101"])
+    assert not r[0].valid and r[1].applicants == [] and r[1].priority_dates == []
+
+
+def test_configs_and_models(spark, tmp_path):
+    df = spark.createDataFrame([("1", "t")], "_id string, text string")
+    files.write_configs({"corpus": df, "v2-queries": df}, str(tmp_path / "c"))
+    assert files.read_config(spark, str(tmp_path / "c"), "corpus", "v2").columns == ["id", "text"]
+    assert files.read_config(spark, str(tmp_path / "c"), "queries", "v2").count() == 1
+    with pytest.raises(FileNotFoundError):
+        files.read_config(spark, str(tmp_path / "c"), "none")
+    for m in ("a", "b"):
+        (tmp_path / "p" / m).mkdir(parents=True)
+        (tmp_path / "p" / m / "x_predictions.json").write_text("{}")
+    (tmp_path / "p" / "c").mkdir()
+    assert {r.model for r in files.discover_models(spark, str(tmp_path / "p")).collect()} == {"a", "b"}
+    assert [r.model for r in files.discover_models(spark, str(tmp_path / "p"), ["b"]).collect()] == ["b"]
+
+
+def test_alias_graph_files(spark, tmp_path):
+    manifest = spark.createDataFrame([("c", "zinc", 2, 3, ["de", "en"], 1)], "concept string, name string, n_gold bigint, n_hard_neg bigint, gold_langs array<string>, n_neighbors bigint")
+    gold, neg = spark.createDataFrame([("c", "P")], "concept string, pub string"), spark.createDataFrame([("c", "Q", "d", "sibling")], "concept string, pub string, neighbor string, relation string")
+    files.write_alias_graph(manifest, gold, neg, str(tmp_path / "g"))
+    back = files.read_alias_graph(spark, str(tmp_path / "g"))
+    assert [x.collect() for x in back] == [x.collect() for x in (manifest, gold, neg)]
+    doc = {"n_concepts": 1, "concepts": [{"chebi_id": "c", "name": "zinc", "n_gold": 2, "n_hard_neg": 3, "gold_langs": ["de", "en"], "n_neighbors_in_corpus": 1, "gold": ["P"], "hard_negatives": [{"publication_number": "Q", "neighbor_chebi_id": "d", "relation": "sibling"}]}]}
+    (tmp_path / "g.json").write_text(json.dumps(doc, indent=2))
+    assert [x.collect() for x in files.read_alias_graph(spark, str(tmp_path / "g.json"))] == [x.collect() for x in (manifest, gold, neg)]
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -52,7 +52,7 @@ def test_entry_without_optional_part(monkeypatch):
 
     def fake(name, globals=None, locals=None, fromlist=(), level=0):
         if name.startswith("benchloom.llm"):
-            raise ImportError(name)
+            raise ImportError(name, name=name)
         return real(name, globals, locals, fromlist, level)
 
     monkeypatch.setattr(builtins, "__import__", fake)
