@@ -2,20 +2,23 @@
 
 The pre-tokens that a bounded sample shows to be frequent are compiled, with their ids as
 outputs, into a minimal acyclic automaton: states with equal right languages are shared, and
-the number of words passed on the way to a state addresses its row of outputs. The arrays are
-written once to the shared folder and memory-mapped by every Python worker. A pre-token that
-the automaton doesn't hold is merged exactly by rank, so the sample decides the speed and
-never the result.
+the number of words passed on the way to a state addresses its row of outputs. Spark's file
+server takes the arrays to every executor, whatever the file system of the cluster, and the
+Python workers map them into memory. A pre-token that the automaton doesn't hold is divided at
+borders which no token of the vocabulary spans, the parts are looked up, and what is still
+unseen is merged exactly by rank, so the sample decides the speed and never the result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import mmap
 import os
 import re
 import sys
+import tempfile
 import unicodedata
 from array import array
 from collections import Counter
@@ -70,13 +73,85 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merger(name: str, folder: str) -> Callable[[str], list[int]]:
-    """Exact rank merging of one pre-token."""
+class Merger:
+    """Exact merging of one pre-token by rank: the pair of lowest rank first, the left one of equals."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        inside = {(a, b) for t in ranks for a, b in zip(t, t[1:])}
+        self.units = self._units(inside)
+
+    @staticmethod
+    def _units(inside: set[tuple[int, int]]) -> re.Pattern:
+        """Pattern of the parts of a run of Chinese characters between proven borders.
+
+        Between two characters lies a border when no token holds the last byte of the one before the first
+        byte of the other: nothing is ever merged across it. The few characters whose last byte some token
+        continues stay with a following character that begins so.
+        """
+        leads: dict[int, list[int]] = {}
+        for a, b in inside:
+            if 0x80 <= a < 0xC0 and 0xE3 <= b <= 0xE9:
+                leads.setdefault(a, []).append(b)
+        run = range(0x3400, 0xA000)
+        by_lead: dict[int, list[int]] = {}
+        by_last: dict[int, list[int]] = {}
+        for c in run:
+            raw = chr(c).encode()
+            by_lead.setdefault(raw[0], []).append(c)
+            by_last.setdefault(raw[-1], []).append(c)
+        joined = [f"[{_ranges(by_last[a])}](?=[{''.join(_ranges(by_lead[b]) for b in sorted(bs) if b in by_lead)}])" for a, bs in sorted(leads.items()) if any(b in by_lead for b in bs)]
+        chinese = "\u3400-\u9fff"
+        return re.compile(f"(?:{'|'.join(joined) or '(?!)'})*[{chinese}]")
+
+    def __call__(self, word: bytes) -> array:
+        ranks = self.ranks
+        if word in ranks:
+            return array("i", [ranks[word]])
+        parts = [word[i : i + 1] for i in range(len(word))]
+        if len(parts) > 64:
+            return self._long(parts)
+        none = len(ranks) + (1 << 30)
+        cost = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while cost:
+            low = min(cost)
+            if low == none:
+                break
+            i = cost.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del cost[i]
+            if i:
+                cost[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+            if i < len(cost):
+                cost[i] = ranks.get(parts[i] + parts[i + 1], none)
+        return array("i", [ranks[p] for p in parts])
+
+    def _long(self, parts: list) -> array:
+        """The same by a heap over linked parts, for runs of any length."""
+        ranks, n = self.ranks, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, token = heapq.heappop(heap)
+            j = after[i] if parts[i] is not None else n
+            if j >= n or parts[i] + parts[j] != token:
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j] = token, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (r := ranks.get(parts[left] + parts[right])) is not None:
+                    heapq.heappush(heap, (r, left, parts[left] + parts[right]))
+        return array("i", [ranks[p] for p in parts if p is not None])
+
+
+def merger(name: str, folder: str) -> Merger:
+    """The merger of a published vocabulary, one per process."""
     key = (name, folder)
     if key not in _state:
-        import tiktoken
-
-        _state[key] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks(f"{folder}/{name}.tiktoken"), special_tokens={}).encode_ordinary
+        _state[key] = Merger(ranks(f"{folder}/{name}.tiktoken"))
     return _state[key]
 
 
@@ -176,39 +251,50 @@ class Lexicon:
         return len(self.ends) - 1
 
 
+#: A run of Chinese characters; it is divided on its own only where it is a whole pre-token.
+_CHINESE = re.compile("[\u3400-\u9fff]{2,}")
+
+
+def parts_of(word: str, units: re.Pattern) -> list[str]:
+    """Parts of a pre-token that are encoded one by one: Chinese ones between proven borders, others whole."""
+    return units.findall(word) if _CHINESE.fullmatch(word) else [word]
+
+
 def build_lexicon(texts: Iterable[str], name: str, folder: str, size: int = 30_000) -> bytes:
-    """Lexicon of the ``size`` most frequent pre-tokens of the given texts (at least twice)."""
+    """Lexicon of the ``size`` most frequent parts of pre-tokens of the given texts (at least twice)."""
+    merge = merger(name, folder)
     count: Counter = Counter()
     for t in texts:
         if t:
             count.update(pretokens(t))
-    merge = merger(name, folder)
-    return compile_lexicon({w.encode(): merge(w) for w, n in count.most_common(size) if n > 1})
+    parts: Counter = Counter()
+    for w, n in count.items():
+        for p in parts_of(w, merge.units):
+            parts[p] += n
+    return compile_lexicon({w.encode(): merge(w.encode()).tolist() for w, n in parts.most_common(size) if n > 1})
 
 
 class Published:
-    """Handle of a lexicon that workers open: the map of the shared file, else its own bytes."""
-
-    def __init__(self, blob: bytes, shared: str | None, name: str, folder: str) -> None:
-        self.blob, self.name, self.folder, self.path = blob, name, folder, None
-        if shared:
-            self.path = f"{shared}/lexicon-{hashlib.blake2b(blob, digest_size=8).hexdigest()}.bin"
-            try:
-                os.makedirs(shared, exist_ok=True)
-                if not os.path.exists(self.path):
-                    with open(f"{self.path}.{os.getpid()}", "wb") as f:
-                        f.write(blob)
-                    os.replace(f.name, self.path)
-            except OSError:
-                self.path = None
+    """Handle of a lexicon: only its name travels with the tasks, the arrays are mapped from the file that Spark brought."""
+
+    def __init__(self, spark, blob: bytes, name: str, folder: str) -> None:
+        self.name, self.folder = name, folder
+        self.file = f"lexicon-{hashlib.blake2b(blob, digest_size=8).hexdigest()}.bin"
+        key = ("published", spark.sparkContext.applicationId, self.file)
+        if key not in _state:  # the driver's copy, from which the file server serves executors, also later ones
+            path = os.path.join(tempfile.mkdtemp(prefix="benchloom-lexicon-"), self.file)
+            with open(path, "wb") as f:
+                f.write(blob)
+            spark.sparkContext.addFile(path)
+            _state[key] = path
 
     def open(self) -> "Encoder":
-        key = ("encoder", self.name, self.folder, self.path or hash(self.blob))
+        key = ("encoder", self.name, self.folder, self.file)
         if key not in _state:
-            buffer: object = self.blob
-            if self.path and os.path.exists(self.path):
-                with open(self.path, "rb") as f:
-                    buffer = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            from pyspark import SparkFiles
+
+            with open(SparkFiles.get(self.file), "rb") as f:
+                buffer = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
             _state[key] = Encoder(Lexicon(buffer), merger(self.name, self.folder))
         return _state[key]
 
@@ -216,38 +302,40 @@ class Published:
 #: Pieces at whose borders no pre-token crosses: white space is split as in PATTERN, and a word
 #: takes at most one blank before it. Every piece is a whole number of pre-tokens.
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_LONG = 32
+#: Characters up to which a string is remembered; longer ones go the same way and hardly ever come again.
+_REMEMBERED = 64
 
 
 class Encoder:
-    """Text to ids: recent pieces and pre-tokens, then the lexicon, then exact merging.
+    """Text to ids: every pre-token goes to the lexicon, what it doesn't hold is divided at proven borders and merged by rank.
 
-    Both tables of recent strings are only there for speed and are emptied when full.
+    The tables of recent strings are only there for speed and are emptied when full.
     """
 
-    def __init__(self, lexicon: Lexicon, merge: Callable[[str], list[int]], recent: int = 200_000) -> None:
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) > recent:
-                    self.clear()
-                got = lexicon.get(word.encode())
-                if got is None:
-                    got = array("i", merge(word)).tobytes()
-                self[word] = got
-                return got
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(piece) > _LONG:  # runs without blanks hardly ever come again
-                    return array("i", merge(piece)).tobytes()
-                if len(self) > recent:
-                    self.clear()
-                self[piece] = got = b"".join(map(word, pretokens(piece)))
+    def __init__(self, lexicon: Lexicon, merge: Merger, recent: int = 200_000) -> None:
+        def encode(word: str) -> bytes:
+            raw = word.encode()
+            got = lexicon.get(raw)
+            if got is None:
+                parts = parts_of(word, merge.units)
+                got = merge(raw).tobytes() if len(parts) == 1 else b"".join(map(known, parts))
+            return got
+
+        class Recent(dict):
+            def __init__(self, make: Callable[[str], bytes]) -> None:
+                self.make = make
+
+            def __missing__(self, key: str) -> bytes:
+                got = self.make(key)
+                if len(key) <= _REMEMBERED:
+                    if len(self) > recent:
+                        self.clear()
+                    self[key] = got
                 return got
 
-        self.lexicon = lexicon
-        word = Words().__getitem__
-        self._word, self._piece = word, Pieces().__getitem__
+        known = Recent(encode).__getitem__
+        self.lexicon, self._word = lexicon, known
+        self._piece = Recent(lambda piece: b"".join(map(known, pretokens(piece)))).__getitem__
 
     def ids(self, text: str | None) -> bytes:
         """Ids of a text as bytes of int32; none for empty and null texts."""

@@ -14,7 +14,7 @@ from .labels import canonical_label
 from .p7_encode import count_tokens, publish_lexicon
 
 #: Characters from which a text is cut into chunks of at least this size.
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 8_192
 
 
 def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:

@@ -21,13 +21,10 @@ LEXICON_DOCUMENTS = 2_000
 
 
 def publish_lexicon(docs: DataFrame, key: str, text: str, tokenizer: str, folder: str, bound: int = LEXICON_DOCUMENTS) -> Published:
-    """Lexicon of the frequent words of a bounded sample, in the shared folder if there is one."""
-    spark = docs.sparkSession
+    """Lexicon of the frequent words of a bounded sample, at hand on every executor."""
     sample = bounded_sample(docs.select(key, text), key, bound)
     blob = build_lexicon((r[1] for r in sample), tokenizer, folder)
-    at = spark.conf.get("spark.checkpoint.dir", "") or ""
-    shared = at.removeprefix("file:").replace("///", "/") if at.startswith(("file:", "/")) else None
-    return Published(blob, shared and f"{shared.rstrip('/')}/lexicons", tokenizer, folder)
+    return Published(docs.sparkSession, blob, tokenizer, folder)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

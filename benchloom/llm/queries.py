@@ -70,6 +70,11 @@ def p6_context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_budget.context_tokens(table(spark, sf_dir, "corpus", *P6_COLUMNS))
 
 
+def p6_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("doc_id is not null")
+    return p6_budget.document_tokens(docs, "doc_id", "text", [])
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_encode.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_documents,
         p6_token_budget,
         p6_context_tokens,
+        p6_document_tokens,
         p7_ids,
         p8_containers,
         p8_summary,

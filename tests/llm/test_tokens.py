@@ -13,9 +13,18 @@ pytestmark = pytest.mark.skipif(not os.path.exists(f"{bpe.TOKENIZERS}/byte_bpe_5
 NAME = "byte_bpe_50k"
 
 
+def public(text):
+    """Ids by the public library."""
+    import tiktoken
+
+    if "public" not in vars(public):
+        public.public = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.ranks(f"{bpe.TOKENIZERS}/{NAME}.tiktoken"), special_tokens={})
+    return public.public.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def merge():
-    return bpe.merger(NAME, bpe.TOKENIZERS)
+    return public
 
 
 def test_transducer_is_a_minimal_dictionary():
@@ -34,10 +43,29 @@ TRICKY = " \n\t\r'strevmld_aé²½Ⅷ一二三的，。0 9٣\x1c\x1d\x85 　\xa0
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(TRICKY), st.characters(exclude_categories=["Cs", "Cn"]))))
 def test_encoder_equals_reference(text):
+    encoder = bpe.Encoder(bpe.Lexicon(bpe.build_lexicon(["the cat the cat 一二"] * 3, NAME, bpe.TOKENIZERS)), bpe.merger(NAME, bpe.TOKENIZERS), recent=50)
+    assert np.frombuffer(encoder.ids(text), np.int32).tolist() == public(text)
+    assert encoder.count(text) == len(public(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(min_codepoint=0x3400, max_codepoint=0x9FFF), min_size=2, max_size=30), st.text(alphabet="abcé ", max_size=200))
+def test_borders_and_merges_are_exact(chinese, other):
     merge = bpe.merger(NAME, bpe.TOKENIZERS)
-    encoder = bpe.Encoder(bpe.Lexicon(bpe.build_lexicon(["the cat the cat"] * 3, NAME, bpe.TOKENIZERS)), merge, recent=50)
-    assert np.frombuffer(encoder.ids(text), np.int32).tolist() == merge(text)
-    assert encoder.count(text) == len(merge(text))
+    parts = bpe.parts_of(chinese, merge.units)
+    assert "".join(parts) == chinese
+    assert [i for p in parts for i in merge(p.encode())] == merge(chinese.encode()).tolist() == public(chinese)
+    word = "".join(other.split()) * 2
+    if word:
+        assert merge(word.encode()).tolist() == merge._long([bytes([b]) for b in word.encode()]).tolist()
+    assert len(parts) >= len(chinese) // 4 or len(chinese) < 8
+
+
+def test_chinese_documents_use_the_lexicon():
+    text = "催化剂的温度为一百度，压力为二百帕。" * 3
+    encoder = bpe.Encoder(bpe.Lexicon(bpe.build_lexicon([text] * 2, NAME, bpe.TOKENIZERS)), bpe.merger(NAME, bpe.TOKENIZERS))
+    assert all(encoder.lexicon.get(p.encode()) for w in bpe.pretokens(text) for p in bpe.parts_of(w, bpe.merger(NAME, bpe.TOKENIZERS).units))
+    assert np.frombuffer(encoder.ids(text), np.int32).tolist() == public(text)
 
 
 def test_encode_rows(spark, merge):
