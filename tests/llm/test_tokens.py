@@ -143,6 +143,22 @@ def test_best_fit_takes_the_smallest_norm_under_the_default_limits():
     assert ties > 20
 
 
+def test_every_limit_binds(spark):
+    containers = spark.createDataFrame([("short", 512, "x")], "container_type string, capacity_tokens int, tokenizer string")
+    sizes = spark.range(400).selectExpr("id AS doc_id", "CASE WHEN id < 200 THEN 5 WHEN id < 300 THEN 170 ELSE 400 END AS n_tokens")
+    rows = p8_pack.pack_limited(sizes, containers).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.container_id, []).append(r.n_tokens)
+    limit = p8_pack.limited_cost(512)
+    assert len(rows) == 400 and all(sum(h) <= 512 and len(h) <= p8_pack.LIMITED_ITEMS for h in held.values())
+    assert all(len(h) == 1 for h in held.values() if 400 in h)  # over the limit alone
+    assert all(sum(x * x for x in h) <= limit for h in held.values() if len(h) > 1)
+    assert max(map(len, held.values())) == p8_pack.LIMITED_ITEMS and any(sum(h) > 505 for h in held.values())
+    got = p8_pack.limited_summary(spark.createDataFrame(rows), containers).first()
+    assert got.n_containers == len(held) >= max(got.least_by_tokens, got.least_by_documents, got.least_by_cost)
+
+
 def test_pack_rows(spark):
     sizes = spark.createDataFrame([(1, 1300), (2, 400), (3, 112), (4, 0), (5, 512), (5, 512)], "doc_id bigint, n_tokens bigint")
     containers = spark.createDataFrame([("short", 512, "x"), ("long", 2048, "x"), ("short", 512, "x")], "container_type string, capacity_tokens int, tokenizer string")
