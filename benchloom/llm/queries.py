@@ -88,9 +88,14 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_pack.summary(p8_containers(spark, sf_dir), table(spark, sf_dir, "containers", "container_type", "capacity_tokens"))
 
 
+def p8_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "containers", "container_type", "capacity_tokens")
+    sizes = p8_pack.document_sizes(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return p8_pack.limited_summary(p8_pack.pack_limited(sizes, containers), containers)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = p9_repetition.measure(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return share.where(F.col("share") >= p9_repetition.SHARE).select("doc_id").distinct()
+    return p9_repetition.repetitive(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p7_ids,
         p8_containers,
         p8_summary,
+        p8_limited,
         p9_found,
         p9_shares,
     )
