@@ -108,6 +108,17 @@ def test_repetition_is_counted_whatever_the_distance(spark):
     assert got.share == pytest.approx(0.5)
 
 
+def test_windows_at_distance_zero_hold_every_repeated_run(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = p9_repetition.measure(docs).collect()
+    assert all(r.share is not None and r.window_share >= r.share for r in rows) and any(r.window_share < 0.25 for r in rows)
+    found = {r.doc_id for r in p9_repetition.repetitive(docs).collect()}
+    assert found == {r.doc_id for r in rows if r.share >= p9_repetition.SHARE} != set()
+    a, b, c = np.array([0.5, 0.5, 0]), np.array([0.5, 0.5, 0]), np.array([0.5, 0.25, 0.25])
+    far = lambda x, y: p9_repetition.js_distance(np.zeros(len(x), int), np.arange(len(x)), x, 1, y[None, :])[0]
+    assert far(a[:2], b) == pytest.approx(0) and far(a[:2], c) > 0.05
+
+
 # ---------------------------------------------------------------- 5 and 4
 
 
@@ -242,6 +253,10 @@ def test_assignment_is_optimal():
                 best = max(best, max(sum(w[i, j] for i, j in zip(a, b)) for b in itertools.permutations(range(m), k)))
         assert got == pytest.approx(best)
     assert p1_alignment.assign(np.zeros((0, 3))) == []
+    far = np.full((400, 400), -1.0)  # many small parts: each is solved on its own
+    far[np.arange(400), np.arange(400)] = 1.0
+    far[1::2, :][np.arange(200), np.arange(0, 400, 2)] = 1.5
+    assert len(p1_alignment.assign(far)) >= 200
 
 
 def test_numbers():
@@ -266,3 +281,31 @@ def test_alignment(spark):
     got = {(r.id_1, r.sent_1, r.id_2, r.sent_2) for r in p1_alignment.align(df).collect()}
     assert len(got & truth) > 0.97 * len(truth) and len(got - truth) < 0.03 * len(truth)
     assert p1_alignment.align(df.limit(0)).collect() == []
+
+
+def test_merged_spans_without_a_joining_word():
+    """Two sentences that the other text says in one, by whatever wording, are both paired with it."""
+    h = p1_alignment.word_hash
+    code = lambda cs: p1_alignment.Document(p1_alignment.encode(" ".join(cs)))
+    count = np.full(12, 50.0)
+    name = lambda i: "abcdefghijkl"[i] * 4
+    ids, partner = np.array([h(name(i)) for i in range(12)]), np.array([h("v" + name(i)) for i in range(12)])
+    for cells in (p1_alignment.Lexicon.CELLS, 0):  # as a matrix and as sorted keys
+        old, p1_alignment.Lexicon.CELLS = p1_alignment.Lexicon.CELLS, cells
+        lexicon = p1_alignment.Lexicon((ids, partner, np.full(12, 255)), p1_alignment._columns(ids, count), p1_alignment._columns(partner, count))
+        p1_alignment.Lexicon.CELLS = old
+        s = lambda a, b, v="": " ".join(v + name(i) for i in range(a, b))
+        x = code([s(0, 4) + ".", s(4, 8) + ".", s(8, 12) + "."])
+        y = code([s(8, 12, "v") + ".", f"{s(0, 4, 'v')} whereupon {s(4, 8, 'v')}."])
+        assert {(a, b) for a, b, _ in lexicon.align(x, y)} == {(0, 1), (1, 1), (2, 0)}
+        z = code([f"{s(0, 4)} whereupon {s(4, 8)}.", s(8, 12) + "."])
+        w = code([s(0, 4, "v") + ".", s(4, 8, "v") + "."])
+        assert {(a, b) for a, b, _ in lexicon.align(z, w)} == {(0, 0), (0, 1)}
+
+
+def test_alignment_beyond_the_broadcast_bound(spark, sf, monkeypatch):
+    corpus = spark.read.parquet(f"{sf}/corpus.parquet")
+    run = lambda: {tuple(r) for r in p1_alignment.align(corpus).collect()}
+    want = run()
+    monkeypatch.setattr(p1_alignment, "BROADCAST_ENTRIES", 0)
+    assert run() == want != set()
