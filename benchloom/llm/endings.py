@@ -114,10 +114,15 @@ class EndingModel:
         return word[-2:] not in self.name_endings
 
 
+#: Marks of asides, and characters that an open one at the end of a text may have behind it; an older one is a slip.
+_ASIDES, OPEN_SPAN = re.compile("[(（\\[„«“)）\\]”»]"), 400
+
+
 def _open_bracket(text: str) -> bool:
-    """Whether a bracket or quotation mark in the last 400 characters was opened and not closed."""
-    tail, stack = text[-5000:], []  # from further back, so that a closing mark isn't taken for an opening one
-    for at, ch in enumerate(tail):
+    """Whether a bracket or quotation mark near the end was opened and not closed; the marks of the whole text are followed."""
+    stack: list[tuple[str, int]] = []
+    for m in _ASIDES.finditer(text):
+        at, ch = m.start(), m[0]
         if ch in "(（[„«" or (ch == "“" and not any(c == "„" for c, _ in stack)):
             stack.append((ch, at))
         elif ch in ")）]“”»":
@@ -126,7 +131,7 @@ def _open_bracket(text: str) -> bool:
                 if stack[k][0] in opens:
                     del stack[k:]
                     break
-    return any(at >= len(tail) - 400 for _, at in stack)
+    return any(at >= len(text) - OPEN_SPAN for _, at in stack)
 
 
 def abbreviated(text: str) -> bool:
