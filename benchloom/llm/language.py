@@ -6,7 +6,9 @@ of its letters, permuted by place; a text is the bundle (sum) of its trigrams, a
 bundle of its training sentences, damped by the square root of the frequencies and less the mean
 of all languages. The dot product of two
 bundles is the sum, over the trigrams of one, of their dot products with the other, so a model
-carries one number per trigram and language, and a text is compared by looking these up.
+carries one number per trigram and language, and a text is compared by looking these up. The sum is
+divided by the number of trigrams in place of the norm of the text's bundle: languages are ranked
+by cosine all the same, as that norm is one factor for all of them.
 """
 
 from __future__ import annotations

@@ -102,14 +102,8 @@ def visible_forms(rows: DataFrame, keys: list[str], columns: list[str]) -> DataF
     return rows.select(*keys, *columns).mapInArrow(run, out)
 
 
-def same_look(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(id_1, id_2, field): ids whose values of a field look the same and aren't equal.
-
-    Rows meet by a 128-bit key of the visible form; only forms with at least two different stored
-    texts go on. Pairs are formed between different stored texts and then given their ids, so copies
-    of one stored text never meet, however many there are.
-    Null and blank values have no partner; an id delivered twice counts once.
-    """
+def mixed_forms(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, field, form, stored): rows whose visible form has at least two different stored texts, both as hashes."""
     forms = visible_forms(corpus.where(F.col("id").isNotNull()), ["id"], list(fields))
     one = forms.select(
         "id",
@@ -119,7 +113,25 @@ def same_look(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
         one.select("id", "x.field", F.md5(F.col("x.form").cast("binary")).alias("form"), F.xxhash64("x.stored").alias("stored")).distinct()
     )
     mixed = keyed.groupBy("field", "form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a != b").select("field", "form")
-    rows = keyed.join(mixed, ["field", "form"], "left_semi")
+    return keyed.join(mixed, ["field", "form"], "left_semi")
+
+
+def classes(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id, field, form, n_ids, n_texts): membership in the classes of values that look the same and aren't all equal, one row per id and field."""
+    rows = mixed_forms(corpus, fields)
+    size = rows.groupBy("field", "form").agg(F.countDistinct("id").alias("n_ids"), F.countDistinct("stored").alias("n_texts"))
+    return rows.select("id", "field", "form").distinct().join(size, ["field", "form"]).select("id", "field", "form", "n_ids", "n_texts")
+
+
+def same_look(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(id_1, id_2, field): ids whose values of a field look the same and aren't equal.
+
+    Rows meet by a 128-bit key of the visible form; only forms with at least two different stored
+    texts go on. Pairs are formed between different stored texts and then given their ids, so copies
+    of one stored text never meet, however many there are.
+    Null and blank values have no partner; an id delivered twice counts once.
+    """
+    rows = mixed_forms(corpus, fields)
     classes = rows.select("field", "form", "stored").distinct()
     meet = ["field", "form"]
     both = classes.withColumnRenamed("stored", "s1").join(classes.withColumnRenamed("stored", "s2"), meet).where("s1 < s2")

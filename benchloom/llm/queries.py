@@ -46,6 +46,10 @@ def p3_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_forms.consistent(table(spark, sf_dir, "corpus", "id", "title", "abstract"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_forms.classes(table(spark, sf_dir, "corpus", "id", "title", "abstract"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs.defects(table(spark, sf_dir, "qac", *P4_COLUMNS))
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p2_rates,
         p3_found,
         p3_consistent_text,
+        p3_classes,
         p4_found,
         p5_found,
         p5_segments,

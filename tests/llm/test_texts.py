@@ -61,6 +61,9 @@ def test_forms(spark):
 def test_copies_of_one_form_make_no_pairs(spark):
     df = spark.range(2000).selectExpr("cast(id as string) id", "if(id = 7, 'zinс', 'zinc') title", "cast(null as string) abstract")
     assert p3_forms.same_look(df).count() == 1999
+    got = p3_forms.classes(df)
+    assert got.count() == 2000 and {(r.n_ids, r.n_texts) for r in got.select("n_ids", "n_texts").distinct().collect()} == {(2000, 2)}
+    assert p3_forms.classes(df.where("id != '7'")).count() == 0
 
 
 # ---------------------------------------------------------------- 9
