@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,21 @@ def with_drops(curve: DataFrame) -> DataFrame:
     return curve.withColumn("drop", F.lag("score").over(w) - F.col("score"))
 
 
+# Strategies by number; any language is the random one.
+STRATEGIES = {"0": "forced_zh", "1": "random", "2": "random_missing", "3": "random_existing", "4": "all", "random_any": "random"}
+
+
+def strategy_label(c: Column) -> Column:
+    """Name of a strategy that is given by number (also as 1.0) or name; unknown ones stay as they are, trimmed."""
+    plain = F.regexp_replace(F.trim(c), r"\.0$", "")
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STRATEGIES.items() for x in kv]), plain), plain)
+
+
+def short_label(c: Column) -> Column:
+    """Name of a model without its owner and the words that many share."""
+    return F.regexp_replace(F.substring_index(c, "/", -1), "(paraphrase-)?multilingual-", "")
+
+
 def curve_summary(curve: DataFrame, by: list[str], cutoffs: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
     """Per group: distinct queries, mean score and drop, exact median rank and recall at cutoffs."""
     return curve.groupBy(*by).agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import metrics as R
 from .registry import query, table
@@ -159,3 +160,23 @@ def query_languages(spark: SparkSession, d: str) -> DataFrame:
     codes = F.create_map(*[F.lit(x) for kv in {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "zh": "zho"}.items() for x in kv])
     return table(spark, d, "qac", "query_language").where("query_language is not null").select(F.try_element_at(codes, F.lower("query_language")).alias("language")).distinct()
 
+
+
+@query(
+    """SELECT DISTINCT query_id, CASE regexp_replace(trim(strategy), '\\.0$', '') WHEN '0' THEN 'forced_zh' WHEN '1' THEN 'random' WHEN '2' THEN 'random_missing' WHEN '3' THEN 'random_existing' WHEN '4' THEN 'all' WHEN 'random_any' THEN 'random' ELSE trim(strategy) END AS strategy,
+    CASE WHEN query_id LIKE '%1' THEN 'paraphrase-multilingual-' ELSE 'multilingual-' END || mode AS model, mode AS short, regexp_replace(query_id || '__q_en', '__q_[a-z]{2}$', '') AS base FROM qac WHERE query_id IS NOT NULL"""
+)
+def display_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Names of strategies and models as they are shown, and query identifiers without their language part."""
+    q = table(spark, d, "qac", "query_id", "strategy", "mode").where("query_id is not null").distinct()
+    model = F.concat(F.when(F.col("query_id").endswith("1"), "paraphrase-multilingual-").otherwise("multilingual-"), F.col("mode"))
+    q = q.withColumn("model", model)
+    return q.select("query_id", A.strategy_label(F.col("strategy")).alias("strategy"), "model", A.short_label(F.concat(F.lit("owner/"), "model")).alias("short"), T.strip_query_suffix(F.concat("query_id", F.lit("__q_en"))).alias("base"))
+
+
+@query(f"WITH {PQ}, {MET} SELECT model, metric, value, printf('%.4f', value) AS shown, value = CASE WHEN metric = 'same_language_share@100' THEN min(value) OVER (PARTITION BY metric) ELSE max(value) OVER (PARTITION BY metric) END AS best FROM met")
+def metric_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the comparison table: each value as shown, and whether it is the best of its metric."""
+    from ..operators.reports import marked_best
+
+    return marked_best(model_metrics(spark, d))

@@ -258,6 +258,13 @@ def name_sets(spark: SparkSession, d: str) -> DataFrame:
     return s.select("concept", "lang", F.array_join("l", "|").alias("names"))
 
 
+@query("SELECT concept, string_agg(surface, '|' ORDER BY surface) AS aliases FROM (SELECT DISTINCT concept, surface FROM (SELECT chebi_id AS concept, lang, min(title) AS surface FROM concept_names WHERE title IS NOT NULL GROUP BY chebi_id, lang, lower(title))) GROUP BY 1")
+def alias_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct names of each concept over all languages."""
+    n = table(spark, d, "concept_names").where("title is not null").select(F.col("chebi_id").alias("concept"), "lang", F.col("title").alias("surface"), F.lit(0).alias("ord"))
+    return K.name_sets(n).select("concept", F.array_join(F.sort_array(K.all_aliases(F.col("names"))), "|").alias("aliases"))
+
+
 def title_checks(spark: SparkSession, d: str) -> DataFrame:
     """Title checks of concepts named in English contexts against the parallel texts."""
     docs = corpus_docs(spark, d).where(known("publication_number"))
