@@ -92,12 +92,12 @@ def short_label(c: Column) -> Column:
     return F.regexp_replace(F.substring_index(c, "/", -1), "(paraphrase-)?multilingual-", "")
 
 
-def curve_summary(curve: DataFrame, by: list[str], cutoffs: tuple[int, ...] = (1, 10, 100)) -> DataFrame:
+def curve_summary(curve: DataFrame, by: list[str], cutoffs: tuple[int, ...] = (1, 10, 100), digits: int = 6) -> DataFrame:
     """Per group: distinct queries, mean score and drop, exact median rank and recall at cutoffs."""
     return curve.groupBy(*by).agg(
         F.count_distinct("query_id").alias("n"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
-        F.round(F.avg("drop"), 6).alias("mean_drop"),
+        F.round(F.avg("score"), digits).alias("mean_score"),
+        F.round(F.avg("drop"), digits).alias("mean_drop"),
         F.median("rank").alias("median_rank"),
         *[F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"recall_{k}") for k in cutoffs],
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import ingest as I
+from .corpus import LOST
 from .registry import query, table
 
 
@@ -20,11 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @query(
-    """SELECT id, publication_number, CAST(y AS INT) AS year FROM (SELECT id, publication_number, y, min(y) OVER (PARTITION BY publication_number) AS first_year FROM (
-      SELECT id, any_value(publication_number) AS publication_number, any_value(CASE WHEN regexp_matches(publication_date, '^(19|20)[0-9]{2}') THEN CAST(substr(publication_date, 1, 4) AS INT) // 5 * 5 ELSE 0 END) AS y FROM corpus WHERE id IS NOT NULL AND trim(publication_number) != '' GROUP BY id)) WHERE y = first_year"""
+    f"""SELECT id, publication_number, CAST(y AS INT) AS year FROM (SELECT id, publication_number, y, min(y) OVER (PARTITION BY publication_number) AS first_year FROM (
+      SELECT id, any_value(publication_number) AS publication_number, any_value(CASE WHEN regexp_matches(publication_date, '^(19|20)[0-9]{{2}}') THEN CAST(substr(publication_date, 1, 4) AS INT) // 5 * 5 ELSE 0 END) AS y FROM corpus WHERE id IS NOT NULL AND trim(publication_number) != '' GROUP BY id)) WHERE y = first_year OR trim(publication_number) IN ({LOST})"""
 )
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus ingested as a stream, five years a batch; a publication belongs to the first batch that has it."""
+    """The corpus ingested as a stream, five years a batch; a publication belongs to the first batch that has it, a lost number to none."""
     root = shared_folder(spark)
     year = F.when(F.col("publication_date").rlike("^(19|20)[0-9]{2}"), F.floor(F.substring("publication_date", 1, 4).cast("int") / 5).cast("int") * 5).otherwise(0)
     rows = table(spark, d, "corpus", "id", "publication_number", "publication_date").where("id is not null and trim(publication_number) != ''")
