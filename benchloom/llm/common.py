@@ -41,8 +41,9 @@ def bounded_sample(df: DataFrame, key: str, bound: int, strata: str | None = Non
 
     The rows with the smallest seeded hashes of ``key``: a count gives the hash below which hardly
     more than ``bound`` rows lie, so only about so many leave their tasks, however many tasks there
-    are. Rows with a null key or stratum are left out. Only models are fitted on it, never counts
-    of the corpus.
+    are. Of a key that comes several times one row is taken, before anything is shuffled, so a
+    key that holds a third of all rows is one row, too. Rows with a null key or stratum are left out.
+    Only models are fitted on it, never counts of the corpus.
     """
     df = df.where(F.col(key).isNotNull())
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
@@ -56,7 +57,8 @@ def bounded_sample(df: DataFrame, key: str, bound: int, strata: str | None = Non
             return []
         limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, wanted / n)])
         rows = df.where(share < F.try_element_at(limit, F.col(strata)))
-    got = sorted(rows.withColumn("_share", share).collect(), key=lambda r: (r["_share"], str(r[key]), str(r)))
+    one = rows.groupBy(F.col(key).alias("_key"), share.alias("_share")).agg(F.min(F.struct(*df.columns)).alias("_row"))
+    got = sorted(one.select("_row.*", "_share").collect(), key=lambda r: (r["_share"], str(r[key]), str(r)))
     taken: dict = {}
     out = []
     for r in got:

@@ -312,3 +312,13 @@ def test_alignment_beyond_the_broadcast_bound(spark, sf, monkeypatch):
     want = run()
     monkeypatch.setattr(p1_alignment, "BROADCAST_ENTRIES", 0)
     assert run() == want != set()
+
+
+def test_a_sample_takes_a_hot_key_once(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) k", "if(id % 2 = 0, 'en', 'de') lang", "cast(id as string) t")
+    rows = common.bounded_sample(df, "k", 5000)
+    assert len(rows) == 2001 and sum(r.k == "hot" for r in rows) == 1
+    assert len(common.bounded_sample(df, "k", 50)) <= 50
+    assert max(sum(r.lang == x for r in common.bounded_sample(df, "k", 40, "lang")) for x in ("en", "de")) <= 40
+    again = common.bounded_sample(df.repartition(7), "k", 50)
+    assert [tuple(r) for r in again] == [tuple(r) for r in common.bounded_sample(df, "k", 50)]
