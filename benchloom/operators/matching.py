@@ -88,13 +88,18 @@ def spread(names: DataFrame, key: str, n: Column) -> tuple[DataFrame, Column, in
     return names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), F.pmod(F.hash("rest"), F.lit(SALTS)), most or 1
 
 
-def windows(items: str, n: int, joint: str = "") -> Column:
-    """Rows (token, before, at, rest) of an array: each item, the one before it, and the next ``n`` joined.
+def windows(items: str, n: int, joint: str = "", around: bool = False) -> Column:
+    """Rows (token, rest) of an array: each item, and it with the next ones, ``n`` in all, joined.
 
-    Only this much of a text is copied per item, so the work is linear in the text.
+    ``around`` adds the item before it and its place (before, at). Only this much of a text is copied per item,
+    so the work is linear in the text.
     """
-    made = F.transform(items, lambda x, i: F.struct(x.alias("token"), F.when(i > 0, F.get(items, i - 1)).otherwise("").alias("before"), i.alias("at"), F.array_join(F.slice(items, i + 1, n), joint).alias("rest")))
-    return F.inline(made)
+
+    def row(x: Column, i: Column) -> Column:
+        more = (F.when(i > 0, F.get(items, i - 1)).otherwise("").alias("before"), i.alias("at")) if around else ()
+        return F.struct(x.alias("token"), F.array_join(F.slice(items, i + 1, n), joint).alias("rest"), *more)
+
+    return F.inline(F.transform(items, row))
 
 
 def characters(t: Column) -> Column:
@@ -145,7 +150,7 @@ def term_hits(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...], text: st
     latin = latin.withColumn("body", F.substr("low", F.length("lead") + 1))
     names, salt, most = spread(latin, "term", F.col("n"))
     runs = docs.where(F.col(text).isNotNull()).select(*keep, F.regexp_extract_all(lowered(F.col(text)), F.lit(_RUN), F.lit(1)).alias("runs"))
-    each = runs.select(*keep, windows("runs", most + 2)).withColumn("salt", salt)
+    each = runs.select(*keep, windows("runs", most + 1, around=True)).withColumn("salt", salt)
     near = each.join(names, ["token", "salt"]).where(F.startswith("rest", "body"))
     ends = ~F.coalesce(F.substr("rest", F.length("body") + 1, F.lit(1)).rlike(r"(?U)\w"), F.lit(False))
     begins = (F.col("lead") == "") | (F.endswith("before", "lead") & ((F.length("before") > F.length("lead")) | (F.col("at") == 1)))

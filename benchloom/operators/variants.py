@@ -15,8 +15,15 @@ MODES = ("B", "C", "D", "F")
 
 
 def document_text(row_fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
-    """All texts of a row joined by line ends."""
-    return F.concat_ws("\n", *[F.coalesce(F.col(f), F.lit("")) for f in row_fields])
+    """All texts of a row joined by line ends.
+
+    A context that only repeats title, abstract and first claim adds its labels and nothing else.
+    """
+    texts = {f: F.coalesce(F.col(f), F.lit("")) for f in row_fields}
+    if {"title", "abstract", "first_claim", "context"} <= set(row_fields):
+        parts = [F.col(f) for f in ("title", "abstract", "first_claim")]
+        texts["context"] = F.when(texts["context"] == T.context(*parts), F.lit("Title: \n\nAbstract: \n\nFirst claim: ")).otherwise(texts["context"])
+    return F.concat_ws("\n", *texts.values())
 
 
 def holds(text: Column, term: Column) -> Column:
