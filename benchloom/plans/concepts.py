@@ -23,7 +23,7 @@ _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """A small table that many queries share (closure, index), written once per session and folder."""
+    """A small table that many queries share (closure, index), written once per session and folder, whose tables don't change meanwhile."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _kept:
         _kept[key] = G.cut_lineage(make())
