@@ -14,12 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut_lineage
-from .endings import EndingModel, is_cut
+from .common import cut_lineage
+from .endings import OPEN, OPEN_NAMES, Grams, decided, open_rows, verdict, vocabulary
 
 FIELDS = ("description", "first_claim")
-#: Rows that the ending model is fitted on.
-TRAINING_ROWS = 4_000
 #: A hidden limit holds at least so many unfinished values, and such a share of the source's.
 LEAST_COUNT, LEAST_SHARE = 6, 0.03
 #: ... and this many times as many as lengths nearby lead to expect.
@@ -136,16 +134,12 @@ def met_limit(x: Column) -> Column:
     return F.when(F.coalesce(length.between(x["limit"] - slack, x["limit"]), F.lit(False)), F.when(x["exact"], 2).otherwise(1)).otherwise(0)
 
 
-def fit_endings(corpus: DataFrame, fields: tuple[str, ...] = FIELDS, bound: int = TRAINING_ROWS) -> EndingModel:
-    """Ending model from at most ``bound`` rows."""
-    got = bounded_sample(corpus.select("id", *fields), "id", bound)
-    return EndingModel(sorted({r[f] for r in got for f in fields if r[f] and r[f].strip()}))
-
-
 def truncated(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(id, field) of the values that were cut; null and blank values are none, an id delivered twice counts once."""
-    model = fit_endings(corpus, fields)
-    rows = values(corpus, fields).where(unfinished(F.col("text")))
+    each = values(corpus, fields)
+    texts = cut_lineage(each.select("text").distinct())
+    known = vocabulary(texts)
+    rows = each.where(unfinished(F.col("text")))
     found = cut_lineage(limits(corpus, fields)).select(F.col("source").alias("s"), F.col("field").alias("f"), "encoding", "limit", "exact")
     lengths = F.create_map(*[x for k, v in encoded_lengths(F.col("text")).items() for x in (F.lit(k), v)])
     at = (F.col("source") == F.col("s")) & (F.col("field") == F.col("f"))
@@ -159,12 +153,13 @@ def truncated(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Grams(known)
         for b in batches:
-            ids, field, hit = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()
-            keep = [k for k, (text, around) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())) if is_cut(model, text, around, WHOLE_FROM[hit[k]])]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.string()), pa.array([field[k] for k in keep], pa.string())], names=["id", "field"])
+            got = [(*verdict(known, text, around), WHOLE_FROM[hit]) for text, around, hit in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
+            keep = [k for k, (x, _, _) in enumerate(got) if x]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)), *open_rows(counter, [got[k] for k in keep])], names=["id", "field", *OPEN_NAMES])
 
-    return marked.mapInArrow(run, "id string, field string").distinct()
+    return decided(texts, known, marked.mapInArrow(run, f"id string, field string, {OPEN}"), ["id", "field"]).distinct()
 
 
 def rates(corpus: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -237,4 +237,4 @@ def is_whole_value(endings: EndingModel, text: str) -> bool:
     m = re.search(r"([^\W\d_]+)\W*$", text)
     if not m or "㐀" <= m[1][-1] <= "鿿":
         return True
-    return m[1].lower() in endings.words or not any(w.startswith(m[1].lower()) for w in endings.words)
+    return m[1].lower() in endings.vocabulary.words or not any(w.startswith(m[1].lower()) for w in endings.vocabulary.words)

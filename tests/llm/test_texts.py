@@ -241,6 +241,30 @@ def test_hidden_limits(spark):
         assert f(df.limit(0)).collect() == []
 
 
+def test_ends_are_counted_over_all_texts(spark):
+    """Three texts of 9,000 tell that a word is whole and that sentences end after it."""
+    rows = [(str(i), "feed", None, f"The mixture of batch number {i} is heated and stirred again.", None) for i in range(9000)]
+    rows += [(f"k{i}", "feed", None, f"Batch {i} is stirred in the quixotry. Then it is heated.", None) for i in range(3)]
+    rows += [("whole", "feed", None, "Then it is stirred in the quixotry", None), ("cut", "feed", None, "Then it is stirred in the quixo", None)]
+    df = spark.createDataFrame(rows, "id string, source string, title string, description string, first_claim string")
+    assert [tuple(r) for r in p2_truncation.truncated(df.repartition(5)).collect()] == [("cut", "description")]
+
+
+def test_counts_in_tasks_equal_those_in_memory(spark, sf):
+    corpus = spark.read.parquet(f"{sf}/corpus.parquet")
+    each = p2_truncation.values(corpus)
+    texts = each.select("text").distinct()
+    known = endings.vocabulary(texts.repartition(3))
+    model = endings.EndingModel([r.text for r in texts.collect()])
+    assert known.words == model.vocabulary.words and known.name_endings == model.vocabulary.name_endings
+    rows = each.select("id", "text").distinct().collect()
+    found = [(*endings.verdict(known, r.text), 0.25) for r in rows]
+    open_ = endings.open_rows(endings.Grams(known), found)
+    df = spark.createDataFrame([(r.id, *v) for r, *v in zip(rows, *(c.to_pylist() for c in open_))], f"id string, {endings.OPEN}")
+    got = sorted(r.id for r in endings.decided(texts.repartition(5), known, df.repartition(3), ["id"]).collect())
+    assert got == sorted(r.id for r in rows if endings.is_cut(model, r.text)) != []
+
+
 # ---------------------------------------------------------------- 1
 
 
