@@ -214,6 +214,26 @@ def test_pairs(spark):
     assert p4_pairs.defects(df.limit(0)).collect() == []
 
 
+def test_pairs_are_judged_by_all_pairs(spark):
+    """Three answers of 6,000 tell that a word is whole and that sentences end after it."""
+    q = "Where is the batch stirred?"
+    rows = [(str(i), "en", q, f"The mixture of batch number {i} is heated and stirred again.") for i in range(6000)]
+    rows += [(f"k{i}", "en", q, f"Batch {i} is stirred in the quixotry. Then it is heated.") for i in range(3)]
+    rows += [("whole", "en", q, "Then it is stirred in the quixotry"), ("cut", "en", q, "Then it is stirred in the quixo")]
+    df = spark.createDataFrame(rows, "query_id string, query_language string, question string, answer string")
+    assert [tuple(r) for r in p4_pairs.defects(df.repartition(5)).collect()] == [("cut", "truncated")]
+
+
+def test_models_counted_in_tasks_are_whole(spark, sf):
+    pairs = spark.read.parquet(f"{sf}/qac.parquet").where("answer is not null").selectExpr("answer", "answer text", "lower(query_language) code")
+    rows = [(r.answer, r.code) for r in pairs.collect()]
+    want, got = LanguageModel(rows), LanguageModel.of_all(pairs.repartition(5))
+    assert np.array_equal(want.log_likelihood, got.log_likelihood) and np.array_equal(want.products, got.products)
+    more = pairs.select("answer").union(spark.createDataFrame([("Leider kann ich diese Frage nicht beantworten.",)] * 3, "answer string"))
+    a, b = (p4_pairs.RefusalModel.of_all(more.repartition(n)) for n in (3, 7))
+    assert a.odds == b.odds != {} and a.prior == b.prior
+
+
 # ---------------------------------------------------------------- 2
 
 
