@@ -15,19 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import codepoints as cp
-from .common import bounded_sample
+from .common import cut_lineage
 from .labels import LANGUAGES, canonical_label
 
 #: Words of a run that counts as repeated; characters in texts that are mainly Chinese.
 RUN_WORDS, RUN_CHARS = 6, 12
 #: Share of Chinese characters beyond which characters take the place of words.
 CHINESE_SHARE = 1 / 3
-#: Documents per language that the references are fitted on, and words they know.
-REFERENCE_DOCUMENTS, REFERENCE_WORDS = 600, 400
+#: Most frequent words of each language that the references know.
+REFERENCE_WORDS = 400
 SHARE = 0.25
 
 
@@ -51,28 +51,39 @@ class Tokens:
 _CLASS_VALUES = np.random.default_rng(9).integers(1, 1 << 63, 8, dtype=np.uint64)
 
 
+#: What the references count, beside the words, whose hashes are the keys.
+WORD, DIGITS, CLASS = 0, 1, 2
+
+
 class References:
-    """Histograms of common words and character classes per language."""
-
-    def __init__(self, samples: dict[str, list[str]], size: int = REFERENCE_WORDS) -> None:
-        vocab, kinds, counts = [], [], {}
-        for lang in sorted(samples):
-            t = Tokens(samples[lang])
-            points, hashes, digits = t.points, t.hashes, t.digits
-            w, c = np.unique(hashes[~digits], return_counts=True)
-            top = np.argsort(-c, kind="stable")[:size]
-            counts[lang] = (dict(zip(w.tolist(), c.tolist())), len(hashes), int(digits.sum()))
-            vocab.append(w[top])
-            kinds.append((np.bincount(cp.look_up(cp.kinds(), points), minlength=8) + 0.5) / (len(points) + 4))
-        self.vocab = np.unique(np.concatenate(vocab)) if vocab else np.zeros(0, np.uint64)
+    """Histograms of common words and character classes per language, counted over all texts."""
+
+    def __init__(self, texts: DataFrame, size: int = REFERENCE_WORDS) -> None:
+        """From ``texts`` (language, text); what comes to the driver is bounded by languages and ``size``."""
+        counts = cut_lineage(texts.select("language", "text").mapInArrow(reference_counts, "language string, what int, key bigint, n bigint").groupBy("language", "what", "key").agg(F.sum("n").alias("n")))
+        words = counts.where(F.col("what") == WORD)
+        place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), F.col("key").bitwiseXOR(F.lit(-(1 << 63)))))
+        common = words.withColumn("place", place).where(F.col("place") <= size).select("key").distinct()
+        totals = words.groupBy("language").agg(F.sum("n").alias("n")).collect()
+        held = words.join(F.broadcast(common), "key").select("language", "key", "n").collect()
+        others = counts.where(F.col("what") != WORD).collect()
+        languages = {x: i for i, x in enumerate(sorted({r.language for r in others}))}
+        self.vocab = np.unique(np.array([r.key for r in held], np.int64).view(np.uint64))
         # two further bins: numbers, and all other words
-        self.words = np.zeros((len(counts), len(self.vocab) + 2))
-        for i, lang in enumerate(sorted(counts)):
-            c, n, d = counts[lang]
-            row = [c.get(w, 0) for w in self.vocab.tolist()]
-            self.words[i] = [*row, d, n - d - sum(row)]
-            self.words[i] /= max(n, 1)
-        self.kinds = np.array(kinds)
+        self.words = np.zeros((len(languages), len(self.vocab) + 2))
+        self.kinds = np.full((len(languages), 8), 0.5)
+        for r in held:
+            self.words[languages[r.language], np.searchsorted(self.vocab, np.uint64(r.key % (1 << 64)))] = r.n
+        for r in totals:
+            i = languages[r.language]
+            self.words[i, -1] = r.n - self.words[i].sum()
+        for r in others:
+            if r.what == DIGITS:
+                self.words[languages[r.language], -2] = r.n
+            else:
+                self.kinds[languages[r.language], r.key] += r.n
+        self.words /= np.maximum(self.words.sum(1, keepdims=True), 1)
+        self.kinds /= self.kinds.sum(1, keepdims=True)
 
     def bins(self, hashes: np.ndarray, digits: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocab, hashes), max(len(self.vocab) - 1, 0))
@@ -80,6 +91,23 @@ class References:
         return np.where(digits, len(self.vocab), np.where(hit, at, len(self.vocab) + 1))
 
 
+def reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, what, key, n) of the words that aren't numbers, the numbers and the character classes of texts."""
+    for b in batches:
+        by_language: dict[str, list[str]] = {}
+        for language, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by_language.setdefault(language, []).append(text)
+        for language, texts in by_language.items():
+            for i, j in cp.slices(texts):
+                t = Tokens(texts[i:j])
+                word, n = np.unique(t.hashes[~t.digits], return_counts=True)
+                classes = np.bincount(cp.look_up(cp.kinds(), t.points), minlength=8)
+                what = np.repeat([WORD, DIGITS, CLASS], [len(word), 1, len(classes)])
+                key = np.concatenate([word.view(np.int64), [0], np.arange(len(classes))])
+                n = np.concatenate([n, [t.digits.sum()], classes])
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(n), pa.string()), pa.array(what, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["language", "what", "key", "n"])
+
+
 def js_distance(doc: np.ndarray, bins: np.ndarray, weights: np.ndarray, n_docs: int, reference: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each document's histogram to its nearest reference.
 
@@ -151,11 +179,8 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     repeated runs: exact for every text, at most ``window_share``.
     """
     label = canonical_label(F.col(lang))
-    usable = docs.where(F.length(text) > 0).select(key, text, F.when(label.isin(*LANGUAGES), label).alias("_language"))
-    samples: dict[str, list[str]] = {}
-    for r in bounded_sample(usable, key, REFERENCE_DOCUMENTS, "_language"):
-        samples.setdefault(r["_language"], []).append(r[text])
-    refs = References(samples)
+    usable = docs.where((F.length(text) > 0) & F.col(key).isNotNull() & label.isin(*LANGUAGES))
+    refs = References(usable.select(label.alias("language"), F.col(text).alias("text")))
 
     def some(texts: list[str]) -> tuple[np.ndarray, ...]:
         n_docs = len(texts)

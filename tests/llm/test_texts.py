@@ -122,6 +122,27 @@ def test_windows_at_distance_zero_hold_every_repeated_run(spark, sf):
     assert far(a[:2], b) == pytest.approx(0) and far(a[:2], c) > 0.05
 
 
+def test_references_are_counted_over_all_documents(spark):
+    """The words of the last 50 of 1,300 documents are as much of the reference as those of the first."""
+    texts = ["alpha beta gamma 7"] * 1250 + [f"delta w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)]
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, language string").repartition(5)
+    refs = p9_repetition.References(df)
+    assert len(refs.vocab) == 54
+    total = 4 * 1250 + 2 * 50
+    assert sorted(refs.words[0].round(9)) == sorted(round(n / total, 9) for n in [1250] * 4 + [50] + [1] * 50 + [0])
+    again = p9_repetition.References(df.repartition(2), 3)
+    assert len(again.vocab) == 3 and again.words[0][-2:] == pytest.approx([1250 / total, 100 / total]) and np.array_equal(again.kinds, refs.kinds)
+
+
+def test_distances_are_those_to_all_documents(spark):
+    rows = [(i, "alpha beta gamma 7" if i % 26 else f"delta w{chr(97 + i // 26)}", "en") for i in range(676)]
+    got = p9_repetition.measure(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)).where("doc_id = 1").first()
+    total = 4 * 650 + 2 * 26
+    p, q = np.array([0.25] * 4 + [0] * 27), np.array([650] * 4 + [26] + [1] * 26) / total
+    kl = lambda x: np.sum(x[x > 0] * np.log2(x[x > 0] / ((p + q) / 2)[x > 0]))
+    assert got.js_words == pytest.approx((kl(p) + kl(q)) / 2, rel=1e-9)
+
+
 # ---------------------------------------------------------------- 5 and 4
 
 
